@@ -1,0 +1,39 @@
+"""Connected components on tables, for the near-duplicate operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from scriptorium.llm import common
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``(node, component)`` of every node in ``edges``; the least node names it.
+
+    Alternates large-star and small-star steps, which need a number of rounds
+    that grows with the logarithm of the component size. Each round is a
+    grouped minimum, so a node with many neighbours is reduced before the
+    shuffle, and each round is written to the shared checkpoint folder. Nodes
+    are never gathered: a star step joins edges with their minimum.
+    """
+    pairs = common.saved(
+        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
+    )
+    last = None
+    while True:
+        both = pairs.union(pairs.select("v", "u")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        large = large.filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        joined = large.join(low, "u")
+        small = joined.filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.toDF("u", "v"))
+        pairs = common.saved(small.filter("u <> v").distinct())
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if last == now:
+            break
+        last = now
+    return pairs.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(
+        pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )
