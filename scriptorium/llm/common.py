@@ -134,11 +134,20 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        up, down = powers(n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        return mixed((total[self.ends] - total[self.starts]) * down[self.starts])
+        out = np.zeros(len(self), np.uint64)
+        most = 1 << 19
+        at = 0
+        while at < len(self):  # in runs of words, so that 64-bit copies of the bytes stay small
+            base = int(self.starts[at])
+            to = max(at + 1, int(np.searchsorted(self.starts, base + most)))
+            end = int(self.ends[to - 1])
+            up, down = powers(end - base)
+            total = np.zeros(end - base + 1, np.uint64)
+            np.cumsum((self.data[base:end].astype(np.uint64) + np.uint64(1)) * up[: end - base], out=total[1:])
+            starts, ends = self.starts[at:to] - base, self.ends[at:to] - base
+            out[at:to] = mixed((total[ends] - total[starts]) * down[starts])
+            at = to
+        return out
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
