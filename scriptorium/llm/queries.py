@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import common, decontam, packing, pii, simhash, substring, suffix, tokens, toxicity
+from scriptorium.llm import common, decontam, licenses, packing, pii, simhash, substring, suffix, tokens, topk, toxicity
 
 #: Vocabulary files, by the paths that the installed package gives.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -38,6 +38,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op6_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(common.table(spark, sf_dir, "embeddings"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_bytes(common.table(spark, sf_dir, "documents"))
 
@@ -50,15 +54,21 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_words(common.table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_token_counts,
     op2_pii_pseudonyms,
     op3_best_fit_packing,
     op4_toxicity,
     op5_decontamination,
+    op6_cover_tree_search,
     op7_suffix_dedup,
     op8_simhash,
     op9_substring_dedup,
+    op10_license_scan,
 )
 
 
