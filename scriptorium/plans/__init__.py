@@ -1 +1,3 @@
+"""Queries of the library over the shared tables."""
 
+from scriptorium.plans import aggregates, entities, graphs, joins, scalars, scoring, search, segmentation, selection, windows  # noqa: F401
