@@ -9,10 +9,10 @@ the same pseudonym in every document, so records stay linked, and the key
 reverses it. Separators, letter case and lengths stay.
 
 Kinds: e-mail addresses (the letters and digits before the @), bank account
-numbers (IBAN, check digits right), payment cards and other runs of 13 to 19
-digits (with the check digit right if it was), telephone numbers with a country
-prefix, social security numbers, IPv4 addresses, calendar dates, and quoted
-secrets after words such as token or password (letters and digits).
+numbers (IBAN, check digits right), payment cards (13 to 19 digits, check digit
+right), telephone numbers with a country prefix, social security numbers, IPv4
+addresses, calendar dates, and quoted secrets after words such as token or
+password (letters and digits).
 
 Defined cases: null stays null, empty stays empty; a value whose kind's
 validation fails is left alone; rows are independent, so ties and repeated rows
@@ -36,7 +36,7 @@ from scriptorium.llm import common
 
 KEY = b"scriptorium"
 ROUNDS = 8
-KINDS = ("email", "iban", "card", "number", "phone", "ssn", "ipv4", "date", "secret")
+KINDS = ("email", "iban", "card", "phone", "ssn", "ipv4", "date", "secret")
 
 
 @lru_cache(maxsize=1 << 14)
@@ -111,10 +111,8 @@ def luhn(digits: str) -> int:
 
 def _card(value: bytes, key: bytes, back: bool) -> tuple[str, bytes] | None:
     d = re.sub(rb"[^0-9]", b"", value).decode()
-    if not 13 <= len(d) <= 19:
+    if not 13 <= len(d) <= 19 or luhn(d[:-1]) != int(d[-1]):
         return None
-    if luhn(d[:-1]) != int(d[-1]):
-        return "number", _digits(value, key, "number", back, lambda x: luhn(x[:-1]) != int(x[-1]))
     body = permuted(int(d[:-1]), 10 ** (len(d) - 1), key, f"card{len(d)}", back)
     body = f"{body:0{len(d) - 1}d}"
     return "card", _written(value, body + str(luhn(body)))
@@ -148,8 +146,19 @@ def _ipv4(value: bytes, key: bytes, back: bool) -> tuple[str, bytes] | None:
     parts = [int(p) for p in value.split(b".")]
     if max(parts) > 255:
         return None
-    x = permuted(int.from_bytes(bytes(parts), "big"), 1 << 32, key, "ipv4", back)
-    return "ipv4", ".".join(map(str, x.to_bytes(4, "big"))).encode()
+    # Octets keep their number of digits: 0-9, 10-99 or 100-255.
+    ranges = [(0, 10) if p < 10 else (10, 90) if p < 100 else (100, 156) for p in parts]
+    if any(len(p) != len(str(int(p))) for p in value.split(b".")):
+        return None  # leading zeros are no address
+    x, n = 0, 1
+    for p, (low, size) in zip(parts, ranges, strict=True):
+        x, n = x * size + p - low, n * size
+    x = permuted(x, n, key, "ipv4", back)
+    out = []
+    for low, size in reversed(ranges):
+        x, r = divmod(x, size)
+        out.append(low + r)
+    return "ipv4", ".".join(map(str, reversed(out))).encode()
 
 
 #: Dates of these years are permuted among themselves, others among the others.
@@ -177,10 +186,11 @@ def _date(value: bytes, key: bytes, back: bool) -> tuple[str, bytes] | None:
         while True:
             x = _permuted_day(x, key, f"date{k}", back)
             new = date.fromordinal(x)
-            if k == 0 or new.day > 12:  # a month-first date stays one that can't be day-first
-                break
-        own = (new.year, new.month, new.day) if year_first else (new.day, new.month, new.year) if k == 0 else (new.month, new.day, new.year)
-        return "date", b"".join(p if i % 2 else b"%0*d" % (len(p), own[i // 2]) for i, p in enumerate(parts))
+            own = (new.year, new.month, new.day) if year_first else (new.day, new.month, new.year) if k == 0 else (new.month, new.day, new.year)
+            out = [p if i % 2 else b"%0*d" % (len(p), own[i // 2]) for i, p in enumerate(parts)]
+            # Lengths stay, and a month-first date stays one that can't be day-first.
+            if all(len(a) == len(b) for a, b in zip(out, parts, strict=True)) and (k == 0 or new.day > 12):
+                return "date", b"".join(out)
     return None
 
 
@@ -275,6 +285,7 @@ def replace_text(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
     An integer column ``n_chars`` follows the new text.
     """
+    common.small_batches(docs.sparkSession)
 
     @F.arrow_udf("binary")
     def replaced(text: pa.Array) -> pa.Array:
