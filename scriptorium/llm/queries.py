@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import common, decontam, licenses, packing, pii, simhash, substring, suffix, tokens, topk, toxicity
+from scriptorium.llm import common, decontam, licenses, oracles, packing, pii, simhash, substring, suffix, tokens, topk, toxicity
 
 #: Vocabulary files, by the paths that the installed package gives.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
