@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -39,9 +40,18 @@ def ready(spark: SparkSession) -> None:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, its lineage cut."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once to the shared checkpoint folder, its lineage cut.
+
+    Shuffle files that only the old lineage needed go when the driver's JVM
+    collects garbage, which a short job may never make it do; so it is asked to.
+    """
+    spark = df.sparkSession
+    ready(spark)
+    out = df.checkpoint(eager=True)
+    del df  # the last reference to its executed plan, where the caller keeps none
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -164,3 +164,16 @@ def answer_least(sent: DataFrame) -> DataFrame:
 
 def by_bucket(answers: pa.Table) -> dict[int, bytes]:
     return dict(zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True))
+
+
+def squeezed(blob: bytes) -> bytes:
+    """Compressed, for rows that wait in the shared folder."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(blob)
+
+
+def unsqueezed(blob: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(blob)
