@@ -374,17 +374,13 @@ def _digest(raw: bytes | None, removed: np.ndarray | None = None) -> tuple[int,
 
 
 def _packed(entries: list[tuple[int, int, bytes]], several: np.ndarray) -> bytes:
-    import zstandard
-
     head = np.array([len(entries)], "<i8").tobytes()
     body = np.array([e[0] for e in entries], "<u8").tobytes() + np.array([(e[1], len(e[2])) for e in entries], "<u2").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + body + several.astype(np.uint8).tobytes() + b"".join(e[2] for e in entries))
+    return exchange.squeezed(head + body + several.astype(np.uint8).tobytes() + b"".join(e[2] for e in entries))
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = exchange.unsqueezed(blob)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     keys = np.frombuffer(raw, "<u8", n, 8)
     pair = np.frombuffer(raw, "<u2", 2 * n, 8 + 8 * n).reshape(n, 2).astype(np.int64)
@@ -418,7 +414,8 @@ def _second(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
             mine = b.owner == i
             at = b.place[mine & (own > 0)].astype("<i8")
             hot = (own[mine & (own > 0)] > 1).astype(np.uint8)
-            some[long[i]] = len(at).to_bytes(8, "little") + at.tobytes() + hot.tobytes() + b.keys[mine & (own > 0)].astype("<u8").tobytes() + texts[long[i]]
+            blob = len(at).to_bytes(8, "little") + at.tobytes() + hot.tobytes() + b.keys[mine & (own > 0)].astype("<u8").tobytes()
+            some[long[i]] = exchange.squeezed(blob + texts[long[i]])
         _, entries, _, times = b.contexts(keys[state == 1])
         where = _by_bucket(np.array([e[0] for e in entries], np.uint64), buckets)
         for k in np.unique(where).tolist():
@@ -489,6 +486,7 @@ def _third(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         return _typed(out, RESULT)
     raws, owner, place, hot, keys = [], [], [], [], []
     for i, blob in enumerate(rows["blob"].to_pylist()):
+        blob = exchange.unsqueezed(blob)
         n = int.from_bytes(blob[:8], "little")
         place.append(np.frombuffer(blob, "<i8", n, 8))
         hot.append(np.frombuffer(blob, np.uint8, n, 8 + 8 * n))
