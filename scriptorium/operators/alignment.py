@@ -168,3 +168,12 @@ def reading_segments(text: str, marks: list[tuple[int, int, str]]) -> list[tuple
 def converted(c: Column, table: dict[str, str]) -> Column:
     """Characters replaced one for one; the length stays."""
     return F.translate(c, "".join(table), "".join(table.values()))
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the common prefix, in characters."""
+    n = F.least(F.char_length(a), F.char_length(b))
+    differ = F.when(n == 0, F.array().cast("array<int>")).otherwise(
+        F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
+    )
+    return F.coalesce(F.array_min(differ) - 1, n)

@@ -163,3 +163,34 @@ def person_score(parts: dict[str, Column]) -> Column:
     for name, w in weights.items():
         total = total + F.lit(w) * F.coalesce(parts.get(name, F.lit(0.0)).cast("double"), F.lit(0.0))
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total * 100)), 4)
+
+
+#: Weights of the experience ranking.
+EXPERIENCE = {
+    "main": 0.24, "unlock": 0.14, "bridge": 0.13, "dead_end": 0.18, "sketch": 0.08, "relation": 0.05,
+    "scene": 0.06, "identity": 0.16, "naming": 0.06, "citation": -0.20,
+}
+
+
+def experience_score(parts: dict[str, Column]) -> Column:
+    """Weighted sum of components between 0 and 1; missing ones count 0."""
+    total = F.lit(0.0)
+    for name, w in EXPERIENCE.items():
+        if name in parts:
+            total = total + F.lit(w) * F.coalesce(parts[name], F.lit(0.0))
+    return F.round(total, 6)
+
+
+def gap_audit(occurrences: DataFrame, effective: DataFrame, key: str) -> DataFrame:
+    """Occurrences by what covers them: resolved, ambiguous or uncovered.
+
+    Both sides are spans of the same texts; they meet by text and overlap, so a
+    text's own spans are the only candidates.
+    """
+    e = effective.select(key, F.col("start").alias("s2"), F.col("end").alias("e2"), "person_id")
+    met = occurrences.join(e, key, "left").withColumn("over", (F.col("s2") < F.col("end")) & (F.col("e2") > F.col("start")))
+    out = met.groupBy(*occurrences.columns).agg(
+        F.coalesce(F.bool_or(F.col("over")), F.lit(False)).alias("covered"), F.count_distinct(F.when(F.col("over"), F.col("person_id"))).alias("n_persons")
+    )
+    status = F.when(F.col("n_persons") == 1, "resolved").when(F.col("covered"), "ambiguous").otherwise("uncovered")
+    return out.withColumn("status", status).drop("covered", "n_persons")

@@ -243,3 +243,35 @@ def templates(text: str) -> list[tuple[int, int, str, list[str]]]:
         else:
             i += 1
     return out
+
+
+def front_matters(docs: DataFrame, key: str, text: str, fields: list[str]) -> DataFrame:
+    """``key`` and the listed top-level scalars of each text's front matter, as strings."""
+    kind = dict(docs.dtypes)[key]
+
+    def read(batches):
+        for batch in batches:
+            found = [front_matter(t or "")[0] for t in batch.column(1).to_pylist()]
+            columns = [pa.array([None if f.get(n) is None else str(f[n]) for f in found], pa.string()) for n in fields]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *fields])
+
+    return docs.select(key, text).mapInArrow(read, f"{key} {kind}, " + ", ".join(f"{f} string" for f in fields))
+
+
+def pattern_spans(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """``key, start, end, surface`` of a pattern's matches, in code points."""
+    kind = dict(docs.dtypes)[key]
+
+    def find(batches):
+        compiled = re.compile(pattern)
+        for batch in batches:
+            rows = [
+                (k, m.start(), m.end(), m.group())
+                for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                for m in compiled.finditer(t or "")
+            ]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "start", "end", "surface"])
+
+    return docs.select(key, text).mapInArrow(find, f"{key} {kind}, start int, end int, surface string")
