@@ -102,6 +102,11 @@ class Model:
                     total[i] += values[s:e].sum(dtype=np.float64)
 
 
+def _all_grams(raw: bytes | None) -> np.ndarray:
+    data = np.frombuffer(_framed(raw), np.uint8)
+    return np.concatenate([np.zeros(0, np.uint32), *(_grams(data) if len(data) >= max(ORDERS) else ())])
+
+
 def fit(rows: list[tuple[bytes | None, int]], alpha: float = 1.0, decay: float = 3e-4, rounds: int = 300) -> Model:
     """The model of labelled texts; deterministic for a given list."""
     y = np.array([label for _, label in rows], float)
@@ -109,26 +114,24 @@ def fit(rows: list[tuple[bytes | None, int]], alpha: float = 1.0, decay: float =
     flat = Model(np.zeros(size, np.float32), -60.0)
     if not len(y) or y.min() == y.max():
         return flat
+    # Texts are gone through twice, so that no text's n-grams are kept but those
+    # that the ratios leave.
     seen = [np.zeros(size), np.zeros(size)]
-    found = []
     for raw, label in rows:
-        data = np.frombuffer(_framed(raw), np.uint8)
-        h = np.concatenate([np.zeros(0, np.uint32), *(_grams(data) if len(data) >= max(ORDERS) else ())])
-        keys, counts = np.unique(h, return_counts=True)
-        found.append((keys, counts, max(1, len(data))))
-        seen[int(label)][keys] += 1
+        seen[int(label)][np.unique(_all_grams(raw))] += 1
     p, q = seen[1] + alpha, seen[0] + alpha
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio[(seen[0] + seen[1] < 3) | (np.abs(ratio) < 0.7)] = 0
     row, col, val = [], [], []
-    for i, (keys, counts, n) in enumerate(found):
-        keep = ratio[keys] != 0
-        row.append(np.full(keep.sum(), i))
-        col.append(keys[keep])
-        val.append(PER * counts[keep] / n * ratio[keys[keep]])
-    del found
+    for i, (raw, _) in enumerate(rows):
+        h = _all_grams(raw)
+        keys, counts = np.unique(h[ratio[h] != 0], return_counts=True)
+        row.append(np.full(len(keys), i, np.int32))
+        col.append(keys.astype(np.int32))
+        val.append((PER * counts / max(1, len(_framed(raw))) * ratio[keys]).astype(np.float32))
     row, col, val = np.concatenate(row), np.concatenate(col), np.concatenate(val)
-    used, col = np.unique(col, return_inverse=True)
+    used = np.unique(col)
+    col = np.searchsorted(used, col).astype(np.int32)
     w, b = np.zeros(len(used)), float(np.log(y.mean() / (1 - y.mean())))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
@@ -201,6 +204,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score below 0.5, all columns as they were."""
     held = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, labels)))
+    common.small_batches(docs.sparkSession)
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
