@@ -25,8 +25,9 @@ from scriptorium.llm import common
 #: Bytes of stored text in a batch, about, and batches in a partition.
 BATCH_BYTES = 4 << 20
 PER_TASK = 4
-#: Batches for one bucket.
-PER_BUCKET = 16
+#: Batches for one bucket, and buckets of a small table at most.
+PER_BUCKET = 8
+FEW_BUCKETS = 32
 
 KEYS = "bucket int, batch int, keys binary"
 ANSWERS = "batch int, bucket int, bits binary"
@@ -52,7 +53,9 @@ def deal(docs: DataFrame) -> Dealt:
     tasks = max(width, size // (BATCH_BYTES * PER_TASK))
     batches = tasks * PER_TASK
     dealt = own.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).repartition(tasks, "batch")
-    return Dealt(dealt, batches, max(width, batches // PER_BUCKET))
+    # Blobs are as many as batches times buckets: buckets follow the table's size,
+    # not the number of shuffle partitions.
+    return Dealt(dealt, batches, max(min(width, FEW_BUCKETS), size // (BATCH_BYTES * PER_BUCKET)))
 
 
 def shares(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
