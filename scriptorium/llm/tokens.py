@@ -10,7 +10,8 @@ piece cost the byte pieces of their UTF-8 form. Among best segmentations the
 one of fewest tokens counts.
 
 The trie belongs to the worker process and is started anew when it holds
-``NODES`` nodes, which bounds memory and changes no count. There is no shuffle.
+``NODES`` nodes, the stored counts when they are ``COUNTS``; this bounds memory
+and changes no count. There is no shuffle.
 
 Defined cases: null and empty texts, and texts of white space, have no tokens;
 rows with the same doc_id are counted each; a pre-token over ``LONG`` characters
@@ -29,6 +30,7 @@ from scriptorium.llm import common
 
 MARK = "▁"
 NODES = 400_000
+COUNTS = 1_000_000
 LONG = 200
 
 
@@ -37,7 +39,12 @@ class Pieces:
 
     def __init__(self, scores: dict[str, float], byte_scores: dict[int, float]):
         self.scores, self.byte_scores = scores, byte_scores
-        self.longest = max(map(len, scores), default=1)
+        # Lengths of the pieces that end in two given characters, short ones first.
+        found: dict[str, set[int]] = {}
+        for piece in scores:
+            if len(piece) > 1:
+                found.setdefault(piece[-2:], set()).add(len(piece))
+        self.lengths = {end: tuple(sorted(n)) for end, n in found.items()}
         self.worst = min([*byte_scores.values(), *scores.values(), 0.0]) - 1
 
     def char(self, c: str) -> tuple[float, int]:
@@ -67,14 +74,14 @@ def read_pieces(path: str) -> Pieces:
 class Trie:
     """Pre-tokens seen so far, with forward scores at the nodes."""
 
-    def __init__(self, pieces: Pieces, nodes: int = NODES):
-        self.pieces, self.nodes = pieces, nodes
+    def __init__(self, pieces: Pieces, nodes: int = NODES, counts: int = COUNTS):
+        self.pieces, self.nodes, self.counts = pieces, nodes, counts
+        self.terminal: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[tuple[int, str], int] = {}
         self.best: list[tuple[float, int]] = [(0.0, 0)]
-        self.terminal: dict[str, int] = {}
 
     def _forward(self, word: str, i: int, path: list[tuple[float, int]]) -> tuple[float, int]:
         """Best (score, -tokens) of ``word[:i]``, from those of shorter prefixes."""
@@ -85,12 +92,15 @@ class Trie:
             best = (path[i - 1][0] + cost, path[i - 1][1] - n)
         else:
             best = (path[i - 1][0] + own, path[i - 1][1] - 1)
-        for j in range(max(0, i - self.pieces.longest), i - 1):
-            s = scores.get(word[j:i])
-            if s is not None:
-                reach = (path[j][0] + s, path[j][1] - 1)
-                if reach > best:
-                    best = reach
+        if i > 1:
+            for n in self.pieces.lengths.get(word[i - 2 : i], ()):
+                if n > i:
+                    break
+                s = scores.get(word[i - n : i])
+                if s is not None:
+                    reach = (path[i - n][0] + s, path[i - n][1] - 1)
+                    if reach > best:
+                        best = reach
         return best
 
     def insert(self, word: str) -> int:
@@ -111,6 +121,8 @@ class Trie:
                 self.best.append(self._forward(marked, i, path))
             node = below
             path.append(self.best[node])
+        if len(self.terminal) >= self.counts:
+            self.terminal.clear()
         count = self.terminal[word] = -self.best[node][1]
         return count
 
@@ -122,7 +134,6 @@ class Trie:
             n = stored.get(word)
             if n is None:
                 n = self.insert(word)
-                stored = self.terminal
             total += n
         return total
 
