@@ -12,7 +12,7 @@ centre c and radius r no inner product can exceed
 Node pairs below the worst kth score of the query group are pruned; the rest are
 opened best first, and leaves are compared exactly. The k best of every split
 merge by query. Equal vectors of a split are one point with their k + 1 smallest
-ids, which is all that any query can need of them.
+distinct ids, which is all that any query can need of them.
 
 Components are whole numbers, floor(256 x). Scores are exact: floating-point
 products serve only where every sum is below 2**53, Python integers elsewhere.
@@ -105,8 +105,12 @@ class Search:
         distinct, which = np.unique(points, axis=0, return_inverse=True) if len(points) else (points, np.zeros(0, np.int64))
         self.p, self.p_int = distinct.astype(float), distinct
         order = np.lexsort((ids, which.ravel()))
-        cuts = np.searchsorted(which.ravel()[order], np.arange(len(distinct)))
-        self.ids = [ids[order[a : a + k + 1]][: b - a] for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+        owner, sorted_ids = which.ravel()[order], ids[order]
+        fresh = np.ones(len(order), bool)  # a repeated row takes no place of another id
+        fresh[1:] = (owner[1:] != owner[:-1]) | (sorted_ids[1:] != sorted_ids[:-1])
+        owner, sorted_ids = owner[fresh], sorted_ids[fresh]
+        cuts = np.searchsorted(owner, np.arange(len(distinct)))
+        self.ids = [sorted_ids[a : a + k + 1][: b - a] for a, b in zip(cuts, [*cuts[1:], len(owner)], strict=True)]
         self.top: list[list[tuple[int, int]]] = [[] for _ in query_ids]  # heaps of (score, -id)
         if len(self.q) and len(self.p):
             self._query(cover_tree(self.q), [cover_tree(self.p)])
@@ -150,7 +154,7 @@ class Search:
             for j in range(len(row)) if low is None else np.flatnonzero(row >= low).tolist():
                 s = int(row[j])
                 for v in self.ids[n.at[j]].tolist():
-                    if v == own:
+                    if v == own or (s, -v) in top:  # the latter: an id of several vectors with one score
                         continue
                     if len(top) < self.k:
                         heapq.heappush(top, (s, -v))

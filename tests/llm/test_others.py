@@ -199,6 +199,26 @@ def test_top_k(spark, monkeypatch, split):
     assert rows(topk.top_k(df.withColumn("label", F.lit(1)).withColumn("split", F.lit("x")))) == sorted(brute.top_k(data), key=str)
 
 
+@pytest.mark.parametrize("split", [16384, 5])
+def test_top_k_repeated_rows(spark, monkeypatch, split):
+    monkeypatch.setattr(topk, "SPLIT", split)
+    plain = [(0, [10.0, 0.0]), *((i, [float(x), 1.0]) for i, x in enumerate([10, 9, 8, 7, 6, 5, 4], 1))]
+    data = [*plain, plain[1]]  # the best candidate twice: the fifth neighbour stays
+    data += [plain[2]] * 7 + [plain[0]] * 6  # more often than k; the query too
+    data += [(20, plain[2][1]), (21, plain[2][1])]  # other ids of a repeated vector
+    data += [(30, [8.0, 3.0]), (30, [8.0, 4.0]), (30, [8.0, 5.0])]  # one id, several vectors, one score
+    want = sorted(set(brute.top_k(data)), key=str)
+    assert [r[1] for r in want] == [1, 2, 3, 4, 5]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    assert rows(topk.top_k(df)) == want
+
+
+def test_top_k_id_of_several_vectors(spark):
+    data = [(0, [1.0, 0.0]), *((1, [9.0, float(y)]) for y in range(8)), *((i, [float(9 - i), 0.0]) for i in range(2, 8))]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    assert rows(topk.top_k(df)) == sorted(set(brute.top_k(data)), key=str)
+
+
 def test_top_k_small(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id bigint, embedding array<float>")
     assert rows(topk.top_k(few)) == [(0, 1, 1, 256 * 512)]
