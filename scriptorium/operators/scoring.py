@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a block whose vectors meet those of another in one task, about.
+BLOCK = 8192
+
 # What a full gain of each kind counts, in order.
 GAIN_DIVISORS = (("depth", 3), ("evidence", 3), ("relations", 2), ("uncertainty", 2), ("operations", 2), ("distraction", 2))
 
@@ -84,3 +92,65 @@ def deltas(summary: DataFrame, channel: str, metrics: list[str], pairs: list[tup
         one = one.select(F.lit(left).alias("left"), F.lit(right).alias("right"), *[(F.col(f"r_{m}") - F.col(f"l_{m}")).alias(m) for m in metrics])
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def _whole(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    lists = column.to_pylist()
+    out = np.zeros((len(lists), width), np.int64)
+    for i, v in enumerate(lists):
+        out[i, : len(v)] = v
+    return out
+
+
+def nearest(asked: np.ndarray, asked_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Places of each query and its ``k`` points of the largest products, those of
+    its own id left out, and the products; the smaller id wins ties."""
+    order = np.argsort(ids, kind="stable")
+    n, k = len(ids), min(k, len(ids))
+    most = max([1, *(int(abs(x).max()) for x in (asked, points) if x.size)])
+    # Product and place make one number, so that no two are alike; it is exact below 2**53.
+    exact = (most * most * max(1, points.shape[1]) + 1) * n < 1 << 52
+    own, late = points[order], n - 1 - np.arange(n)
+    left, right, scores = [], [], []
+    for at in range(0, len(asked), 256):
+        part = asked[at : at + 256]
+        same = ids[order][None, :] == asked_ids[at : at + 256, None]
+        if exact:
+            keys = (part.astype(float) @ own.T.astype(float)) * n + late
+            keys[same] = -np.inf
+            top = np.argpartition(keys, n - k, axis=1)[:, n - k :]
+        else:
+            products = part.astype(object) @ own.astype(object).T
+            top = np.array([sorted(range(n), key=lambda j: (same[i, j], -products[i, j], j))[:k] for i in range(len(part))])  # noqa: B023
+        i, j = np.repeat(np.arange(len(part)), k), top.ravel()
+        i, j = i[~same[i, j]], j[~same[i, j]]
+        left.append(i + at)
+        right.append(order[j])
+        scores += ((part[i] * own[j]).sum(1) if exact else products[i, j]).tolist()
+    return np.concatenate(left), np.concatenate(right), scores
+
+
+def label_overlap(rows: DataFrame, key: str, label: str, vector: str, k: int = 5) -> DataFrame:
+    """``key, same_label``: how many of the ``k`` nearest by product carry the row's label.
+
+    Every row is a query and every other a candidate. Rows are dealt to blocks of
+    bounded size and each pair of blocks is one task; the nearest of a row's tasks
+    merge. Ids are unique; rows without an id or a vector take no part.
+    """
+    valid = rows.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<bigint>").alias("v"))
+    blocks = -(-valid.count() // BLOCK) or 1
+    block, other = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = valid.withColumn("a", block).withColumn("b", other)
+    points = valid.withColumn("b", block).withColumn("a", other)
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not (x.num_rows and y.num_rows):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.decimal128(38), pa.bool_())], names=["id", "other", "score", "same"])
+        width = max(len(v) for t in (x, y) for v in t["v"].to_pylist())
+        i, j, scores = nearest(_whole(x["v"], width), x["id"].to_numpy(), _whole(y["v"], width), y["id"].to_numpy(), k)
+        same = pc.fill_null(pc.equal(x["label"].take(pa.array(i)), y["label"].take(pa.array(j))), False)
+        return pa.table([x["id"].take(pa.array(i)), y["id"].take(pa.array(j)), pa.array(list(map(Decimal, scores)), pa.decimal128(38)), same], names=["id", "other", "score", "same"])
+
+    found = asked.groupBy("a", "b").cogroup(points.groupBy("a", "b")).applyInArrow(meet, "id bigint, other bigint, score decimal(38,0), same boolean")
+    top = found.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))).filter(F.col("n") <= k)
+    return top.groupBy(F.col("id").alias(key)).agg(F.count_if("same").alias("same_label"))

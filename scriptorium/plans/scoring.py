@@ -134,6 +134,17 @@ def o6_manifest(spark, sf_dir):
     return load(spark, sf_dir, "documents").groupBy(F.col("source").alias("path")).agg(F.md5(parts).alias("h"))
 
 
+@query(
+    """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 1000) AS BIGINT)) AS v FROM embeddings), n AS (SELECT a.vec_id, b.label = a.label AS same,
+      row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) DESC, b.vec_id) AS n
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id) SELECT vec_id, count(*) FILTER (same) AS same_label FROM n WHERE n <= 5 GROUP BY 1"""
+)
+def h25_neighbour_overlap_whole(spark, sf_dir):
+    """How many of a vector's five nearest carry its label, every row against every other."""
+    whole = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("bigint"))
+    return V.label_overlap(load(spark, sf_dir, "embeddings").select("vec_id", "label", whole.alias("v")), "vec_id", "label", "v")
+
+
 @query(
     """WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id < 60), n AS (SELECT a.vec_id, b.vec_id AS other, b.label = a.label AS same,
       row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(round(z[1]::DOUBLE * 1000) AS BIGINT) * CAST(round(z[2]::DOUBLE * 1000) AS BIGINT))) DESC, b.vec_id) AS n

@@ -265,3 +265,26 @@ def test_exposure_flags_repeats(spark):
     df = spark.createDataFrame([("s", 0, "a"), ("s", 1, "b"), ("s", 2, "a")], "k string, r int, e string")
     got = [(x.known_refs, x.shown_twice) for x in V.exposed(df, "k", "r", "e").orderBy("r").collect()]
     assert got == [(["a"], False), (["a", "b"], False), (["a", "b"], True)]
+
+
+@pytest.mark.parametrize("block, scale", [(8192, 1), (70, 1), (70, 1 << 30)])
+def test_label_overlap_reads_every_row(spark, monkeypatch, block, scale):
+    import random
+
+    monkeypatch.setattr(V, "BLOCK", block)
+    r = random.Random(5)
+    data = [(i * 3, r.choice([1, 2, 3, None]), [r.randrange(-3, 4) * scale for _ in range(4)]) for i in range(150)]
+    want = set()
+    for q, label, a in data:
+        near = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i, own) for i, own, b in data if i != q)[:5]
+        want.add((q, sum(label is not None and own == label for _, _, own in near)))
+    rows = spark.createDataFrame([*data, (None, 1, [9, 9, 9, 9]), (999, 1, None)], "id bigint, label int, v array<bigint>")
+    assert {tuple(x) for x in V.label_overlap(rows, "id", "label", "v").collect()} == want
+
+
+def test_neighbour_overlap_query_answers_for_all_vectors(spark):
+    from scriptorium import registry
+
+    sf = "/root/testdata/sf0.001"
+    found = registry.queries()["h25_neighbour_overlap_whole"](spark, sf)
+    assert len(found.collect()) == spark.read.parquet(f"{sf}/embeddings.parquet").count() > 60
