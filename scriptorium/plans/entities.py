@@ -134,12 +134,20 @@ def l13_conversion(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", L.converted(F.substring("text", 1, 200), {"é": "e", "è": "e", "ê": "e"}).alias("text"))
 
 
+@query("SELECT doc_id, md5(translate(text, 'éèê', 'eee')) AS text_md5 FROM documents")
+def l13_conversion_whole(spark, sf_dir):
+    """Whole texts converted; their hashes stand for them."""
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(L.converted(F.col("text"), {"é": "e", "è": "e", "ê": "e"})).alias("text_md5"))
+
+
 @query()
 def l1_l3_alignment(spark, sf_dir):
-    """Similarity of each document's opening with that of the one before it in its source."""
-    before = F.lag(F.substring("text", 1, 200)).over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = load(spark, sf_dir, "documents").withColumn("other", before).withColumn("own", F.substring("text", 1, 200)).filter("other IS NOT NULL")
-    return L.aligned(rows, "doc_id", "own", "other")
+    """Similarity of each document with the one before it in its source, whole texts."""
+    before = F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))
+    rows = load(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("other", before).filter("other IS NOT NULL")
+    # A source is one task up to here; its pairs are dealt anew, finely, as their cost follows the square of the length.
+    parts = 8 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return L.aligned(rows.repartition(parts, "doc_id"), "doc_id", "text", "other")
 
 
 @query()

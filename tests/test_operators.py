@@ -288,3 +288,28 @@ def test_neighbour_overlap_query_answers_for_all_vectors(spark):
     sf = "/root/testdata/sf0.001"
     found = registry.queries()["h25_neighbour_overlap_whole"](spark, sf)
     assert len(found.collect()) == spark.read.parquet(f"{sf}/embeddings.parquet").count() > 60
+
+
+def test_similarity_is_that_of_difflib(monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(2)
+    for wide in (2048, 1, 8):
+        monkeypatch.setattr(L, "WIDE", wide)
+        for _ in range(150):
+            a, b = ("".join(r.choice("ab甲😀"[: r.randrange(1, 5)]) for _ in range(r.randrange(40))) for _ in "xy")
+            m = SequenceMatcher(None, a, b, autojunk=False)
+            assert L.similarity(a, b) == (m.ratio(), m.find_longest_match().size), (a, b)
+
+
+def test_texts_are_converted_and_aligned_to_their_ends(spark, tmp_path):
+    from scriptorium import registry
+
+    head = "".join(chr(97 + i * 7 % 26) for i in range(300))
+    data = [(1, "s", head + "é one"), (2, "s", head + "è two"), (3, "s", head + "è two")]
+    spark.createDataFrame(data, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.ratio, r.longest) for r in registry.queries()["l1_l3_alignment"](spark, str(tmp_path)).collect()}
+    assert found[2][0] < 1 and found[2][1] == 300 and found[3] == (1.0, 305)
+    md5 = {r.doc_id: r.text_md5 for r in registry.queries()["l13_conversion_whole"](spark, str(tmp_path)).collect()}
+    assert md5[1] != md5[2] == md5[3]
