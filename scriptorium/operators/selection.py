@@ -65,6 +65,23 @@ def reasons(tests: dict[str, Column]) -> Column:
     return F.array_sort(F.array_compact(F.array(*failed)))
 
 
+def cover_candidates(rows: DataFrame, key: str, score: str, group: str, members: str, wanted: list, count: int) -> DataFrame:
+    """The rows among which ``greedy_cover`` finds its choices of all ``rows``.
+
+    Rows of one group that cover the same wanted member get the same bonuses, so
+    only the first ``count`` of each such class, and of each group, can be chosen;
+    both orders in which the choice breaks ties count. That is a number of rows
+    bounded by groups, wanted members and ``count``.
+    """
+    own = F.array_intersect(F.coalesce(members, F.array().cast("array<bigint>")), F.array(*map(F.lit, wanted)).cast("array<bigint>"))
+    classes = rows.withColumn("__class", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), own)))
+    by = Window.partitionBy(group, "__class")
+    first = F.row_number().over(by.orderBy(F.desc(score), key))
+    by_text = F.row_number().over(by.orderBy(F.desc(score), F.concat(F.col(key).cast("string"), F.lit("~"))))
+    near = classes.withColumn("__a", first).withColumn("__b", by_text).filter((F.col("__a") <= count) | (F.col("__b") <= count))
+    return near.drop("__class", "__a", "__b").dropDuplicates([key])
+
+
 def greedy_cover(candidates: list[dict], wanted: set, count: int, group_bonus: float = 1.6, cover_bonus: float = 2.0) -> list[dict]:
     """One choice after another: first one candidate for each wanted member, then
     by score with a bonus for groups not seen and for members not covered.

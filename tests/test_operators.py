@@ -313,3 +313,32 @@ def test_texts_are_converted_and_aligned_to_their_ends(spark, tmp_path):
     assert found[2][0] < 1 and found[2][1] == 300 and found[3] == (1.0, 305)
     md5 = {r.doc_id: r.text_md5 for r in registry.queries()["l13_conversion_whole"](spark, str(tmp_path)).collect()}
     assert md5[1] != md5[2] == md5[3]
+
+
+def test_ordinals_are_paired_beyond_forty(spark, tmp_path):
+    from scriptorium import registry
+
+    docs = [(i * 2, f"text {i % 3}") for i in range(75)]
+    items = [(i, f"text {i % 2}" + "x" * (i % 5 == 0)) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {(d, i, "exact" if a == b else "variant" if len(a) == len(b) else "disputed") for (d, a), (i, b) in zip(docs, items, strict=False)}
+    assert {tuple(r) for r in registry.queries()["j13_ordinal_alignment"](spark, str(tmp_path)).collect()} == want
+
+
+def test_cover_is_chosen_among_all_orders(spark, tmp_path):
+    import random
+
+    from scriptorium import registry
+    from scriptorium.operators import selection as K
+
+    r = random.Random(4)
+    for run in range(2):
+        # Wanted suppliers stand only in cheap orders; in the second run prices tie.
+        orders = [(i, float(r.randrange(500_000, 900_000) if i < 300 else r.randrange(1, 9)) if run == 0 else r.choice([1e5, 2e5]), r.choice("abc")) for i in range(400)]
+        lines = [(i, r.randrange(100, 200) if i < 300 else r.randrange(20)) for i, *_ in orders for _ in range(2)]
+        spark.createDataFrame(orders, "o_orderkey bigint, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/{run}/orders.parquet")
+        spark.createDataFrame(lines, "l_orderkey bigint, l_suppkey bigint").write.parquet(f"{tmp_path}/{run}/lineitem.parquet")
+        pool = [{"id": i, "score": p / 1e5, "group": g, "members": {s for k, s in lines if k == i}} for i, p, g in orders]
+        want = [(n, c["id"]) for n, c in enumerate(K.greedy_cover(pool, set(range(12)), 16), 1)]
+        assert sorted(tuple(x) for x in registry.queries()["k9_k10_greedy_cover"](spark, f"{tmp_path}/{run}").collect()) == want
