@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium import storage
+
 
 def full_outer_audit(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join with ``side``: both, left_only or right_only.
@@ -120,3 +122,26 @@ def surface_states(aliases: DataFrame, surface: str, person: str, known: DataFra
         .otherwise("new")
     )
     return both.withColumn("state", state)
+
+
+def lineage_paths(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, path``: from each of ``ids(child)`` over ``edges(child, parent)`` to a node without a parent.
+
+    A node has one parent at most and edges make no cycle. Every round doubles
+    the steps of a path, so rounds follow the logarithm of its length; they stop
+    when every path has come to its root.
+    """
+    # What lies beyond a node: its ancestors in order, and the last of them.
+    beyond = storage.saved(edges.select("child", F.col("parent").alias("last"), F.array("parent").alias("rest")))
+    while True:
+        nxt = beyond.select(F.col("child").alias("last"), F.col("last").alias("__to"), F.col("rest").alias("__more"))
+        grown = beyond.join(nxt, "last", "left")
+        beyond = storage.saved(
+            grown.select("child", F.coalesce("__to", "last").alias("last"), F.when(F.col("__to").isNull(), F.col("rest")).otherwise(F.concat("rest", "__more")).alias("rest"), F.col("__to").isNotNull().alias("__moved"))
+        )
+        moved = beyond.filter("__moved").limit(1).count()
+        beyond = beyond.drop("__moved")
+        if not moved:
+            break
+    none = F.array().cast(beyond.schema["rest"].dataType)
+    return ids.join(beyond, "child", "left").select(F.col("child").alias("id"), F.concat(F.array("child"), F.coalesce("rest", none)).alias("path"))

@@ -174,6 +174,18 @@ def j15_lineage_path(spark, sf_dir):
     return at.select("id", (F.size("path") - 1).alias("depth"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
+@query(
+    """WITH RECURSIVE edges AS (SELECT o_orderkey AS child, o_orderkey // 3 AS parent FROM orders WHERE o_orderkey > 0),
+    path(id, node, depth) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders UNION ALL SELECT id, parent, depth + 1 FROM path JOIN edges ON child = node)
+    SELECT id, CAST(max(depth) AS INTEGER) AS depth, string_agg(CAST(node AS VARCHAR), '>' ORDER BY depth) AS path FROM path GROUP BY id"""
+)
+def j15_lineage_path_whole(spark, sf_dir):
+    """Ordered path of every order to its root, of any length."""
+    ids = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("child"))
+    edges = ids.filter("child > 0").withColumn("parent", F.floor(F.col("child") / 3).cast("bigint"))
+    return J.lineage_paths(ids, edges).select("id", (F.size("path") - 1).alias("depth"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
 @query(
     """WITH c AS (SELECT o_custkey, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS tier, o_orderdate FROM orders)
     SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY tier, o_orderdate, o_orderkey) AS n FROM c) WHERE n = 1"""

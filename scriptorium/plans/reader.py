@@ -148,6 +148,22 @@ def o7_size_deltas(spark, sf_dir):
     return D.size_deltas(sizes(docs.filter("doc_id % 2 = 0")), sizes(docs.filter("doc_id % 3 = 0"))).withColumn("percent", F.col("percent").cast("double"))
 
 
+@query(
+    """WITH a AS (SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS b FROM documents GROUP BY 1),
+    z AS (SELECT source, CAST(sum(strlen(CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END)) AS BIGINT) AS b FROM documents WHERE source <> 'src3' GROUP BY 1)
+    SELECT coalesce(a.source, z.source) AS asset, coalesce(a.b, 0) AS "before", coalesce(z.b, 0) AS "after", coalesce(z.b, 0) - coalesce(a.b, 0) AS delta,
+    CASE WHEN coalesce(a.b, 0) > 0 THEN round((coalesce(z.b, 0) - a.b) * 100.0 / a.b, 4)::DOUBLE END AS percent FROM a FULL OUTER JOIN z ON a.source = z.source"""
+)
+def o7_size_deltas_whole(spark, sf_dir):
+    """All documents against a second version: every fifth changed, one source gone."""
+    def sizes(rows):
+        return rows.groupBy(F.col("source").alias("asset")).agg(F.sum(F.octet_length("text")).alias("n_bytes"))
+
+    docs = load(spark, sf_dir, "documents")
+    second = docs.filter("source <> 'src3'").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")))
+    return D.size_deltas(sizes(docs), sizes(second)).withColumn("percent", F.col("percent").cast("double"))
+
+
 @query("SELECT doc_id, regexp_full_match(lang, '[㐀-鿿]+') AS han FROM documents")
 def f11_han(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", X.is_han(F.col("lang")).alias("han"))

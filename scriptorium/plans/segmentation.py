@@ -157,6 +157,26 @@ def s5_s15_tree_comparison(spark, sf_dir):
     return locked(tree(docs.filter("doc_id % 2 = 0")), tree(docs.filter("doc_id % 3 = 0 AND source <> 'src3'")))
 
 
+@query(
+    """WITH a AS (SELECT source, sha256(string_agg(md5(text), '' ORDER BY doc_id)) AS h FROM documents WHERE source <> 'src3' GROUP BY 1),
+    b AS (SELECT source, sha256(string_agg(md5(CASE WHEN source IN ('src5', 'src8') AND doc_id % 7 = 0 THEN text || ' changed' ELSE text END), '' ORDER BY doc_id)) AS h FROM documents WHERE source <> 'src4' GROUP BY 1)
+    SELECT coalesce(a.source, b.source) AS path, CASE WHEN a.h IS NULL THEN 'missing' WHEN b.h IS NULL THEN 'unlisted' ELSE 'changed' END AS state FROM a FULL OUTER JOIN b ON a.source = b.source
+    WHERE a.h IS DISTINCT FROM b.h"""
+)
+def s5_s15_tree_comparison_whole(spark, sf_dir):
+    """Trees of all documents; a source is missing from either, rows of two others changed."""
+    from scriptorium.sources import locked
+
+    def tree(rows):
+        parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.md5("text").alias("h")))), lambda u: u["h"]), "")
+        return rows.groupBy(F.col("source").alias("path")).agg(F.sha2(parts, 256).alias("sha256"))
+
+    docs = load(spark, sf_dir, "documents")
+    changed = F.col("source").isin("src5", "src8") & (F.col("doc_id") % 7 == 0)
+    second = docs.filter("source <> 'src4'").withColumn("text", F.when(changed, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")))
+    return locked(tree(docs.filter("source <> 'src3'")), tree(second))
+
+
 @query("SELECT page_id, regexp_extract(html, '<!--\\s*(.*?)\\s*-->', 1) AS note FROM pages")
 def g9_editorial_spans(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"<!--\s*(.*?)\s*-->", 1).alias("note"))

@@ -342,3 +342,21 @@ def test_cover_is_chosen_among_all_orders(spark, tmp_path):
         pool = [{"id": i, "score": p / 1e5, "group": g, "members": {s for k, s in lines if k == i}} for i, p, g in orders]
         want = [(n, c["id"]) for n, c in enumerate(K.greedy_cover(pool, set(range(12)), 16), 1)]
         assert sorted(tuple(x) for x in registry.queries()["k9_k10_greedy_cover"](spark, f"{tmp_path}/{run}").collect()) == want
+
+
+def test_lineage_paths_of_any_length(spark):
+    edges = [(i, i - 1) for i in range(1, 21)] + [(100, 50), (101, 100)]  # 50 is no row
+    ids = [(i,) for i in [*range(21), 100, 101]]
+    found = {r.id: r.path for r in J.lineage_paths(spark.createDataFrame(ids, "child bigint"), spark.createDataFrame(edges, "child bigint, parent bigint")).collect()}
+    assert found == {**{i: list(range(i, -1, -1)) for i in range(21)}, 100: [100, 50], 101: [101, 100, 50]}
+
+
+def test_whole_queries_read_every_row(spark, tmp_path):
+    from scriptorium import registry
+
+    q = registry.queries()
+    sf = "/root/testdata/sf0.001"
+    assert len(q["j15_lineage_path_whole"](spark, sf).collect()) == spark.read.parquet(f"{sf}/orders.parquet").count()
+    spark.createDataFrame([(1, "s", "abc"), (5, "s", "abcd"), (7, "s", "x")], "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.before, r.after) for r in q["o7_size_deltas_whole"](spark, str(tmp_path)).collect()] == [(8, 16)]
+    assert q["s5_s15_tree_comparison_whole"](spark, str(tmp_path)).collect() == []
