@@ -245,6 +245,28 @@ def templates(text: str) -> list[tuple[int, int, str, list[str]]]:
     return out
 
 
+def template_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, n, name, n_fields, fields`` of each text's templates; fields are joined by U+001F."""
+    kind = dict(docs.dtypes)[key]
+
+    def read(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # few texts are Python strings at a time
+                part = batch.slice(at, 64)
+                found = [
+                    (r, n, name, len(fields), "\x1f".join(fields))
+                    for r, t in enumerate(part.column(1).to_pylist())
+                    for n, (_, _, name, fields) in enumerate(templates(t or ""))
+                ]
+                rows, *columns = list(zip(*found, strict=True)) or [()] * 5
+                kinds = (pa.int32(), pa.string(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=[key, "n", "name", "n_fields", "fields"]
+                )
+
+    return docs.select(key, text).mapInArrow(read, f"{key} {kind}, n int, name string, n_fields int, fields string")
+
+
 def front_matters(docs: DataFrame, key: str, text: str, fields: list[str]) -> DataFrame:
     """``key`` and the listed top-level scalars of each text's front matter, as strings."""
     kind = dict(docs.dtypes)[key]

@@ -39,6 +39,17 @@ def s4_templates(spark, sf_dir):
     return wrapped.mapInArrow(read, "page_id bigint, n int, name string, field string").select("page_id", "n", "name", F.md5("field").alias("field_md5"))
 
 
+@query()
+def s4_templates_whole(spark, sf_dir):
+    """Every outermost template of each page's whole html, which is a template's field itself.
+
+    SQL can't match brackets; tests compare with a plain scan.
+    """
+    pages = load(spark, sf_dir, "pages")
+    wrapped = pages.select("page_id", F.concat(F.lit("a {{note|"), "html", F.lit("}} b")).alias("t"))
+    return M.template_rows(wrapped, "page_id", "t").select("page_id", "n", "name", "n_fields", F.md5("fields").alias("fields_md5"))
+
+
 @query("SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, lang FROM documents")
 def s6_front_matter(spark, sf_dir):
     head = F.concat(F.lit("---\nid: "), F.col("doc_id").cast("string"), F.lit("\nlang: '"), "lang", F.lit("'\n---\n"), "text")

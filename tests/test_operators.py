@@ -360,3 +360,42 @@ def test_whole_queries_read_every_row(spark, tmp_path):
     spark.createDataFrame([(1, "s", "abc"), (5, "s", "abcd"), (7, "s", "x")], "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [(r.before, r.after) for r in q["o7_size_deltas_whole"](spark, str(tmp_path)).collect()] == [(8, 16)]
     assert q["s5_s15_tree_comparison_whole"](spark, str(tmp_path)).collect() == []
+
+
+def test_templates_of_whole_pages(spark, tmp_path):
+    import hashlib
+
+    from scriptorium import registry
+
+    def plain(t):
+        """Outermost templates by their depths, as (name, fields)."""
+        out, i = [], 0
+        while (i := t.find("{{", i)) >= 0:
+            depth, j = 0, i
+            while True:
+                two = t[j : j + 2]
+                if two in ("{{", "}}"):
+                    depth, j = depth + (1 if two == "{{" else -1), j + 2
+                else:
+                    j += 1
+                if depth == 0 or j >= len(t):
+                    break
+            if depth:
+                break
+            fields, level = [""], 0
+            for c in t[i + 2 : j - 2]:
+                level += {"{": 1, "[": 1, "}": -1, "]": -1}.get(c, 0)
+                fields = [*fields, ""] if c == "|" and level == 0 else [*fields[:-1], fields[-1] + c]
+            out.append((fields[0].strip(), fields[1:]))
+            i = j
+        return out
+
+    pages = ["plain " * 30, "{{a|b|c}} mid {{d|[[x|y]]|{{e|f}}}} end", "x" * 60 + "}} then {{late|one}} {{more", "p|q{r|s}", "", "{{un|closed"]
+    data = [(i, "u", h) for i, h in enumerate(pages)]
+    spark.createDataFrame(data, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = {
+        (k, n, name, len(f), hashlib.md5("\x1f".join(f).encode()).hexdigest())
+        for k, _, h in data for n, (name, f) in enumerate(plain("a {{note|" + h + "}} b"))
+    }
+    assert {tuple(r) for r in registry.queries()["s4_templates_whole"](spark, str(tmp_path)).collect()} == want
+    assert any(n for _, n, *_ in want) and any(m > 1 for *_, m, _ in want)
