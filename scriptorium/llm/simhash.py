@@ -291,10 +291,30 @@ def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component, that of its smallest doc_id.
+    """``docs`` with one row of each component of fingerprints, the smallest by
+    (doc_id, fingerprint, text).
 
-    All columns stay as they were. Rows without a doc_id stay.
+    Rows that share a doc_id are linked by their texts only. All columns stay as
+    they were. Rows without a doc_id stay and take no part.
     """
-    keep = components(docs, radius).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    prints = common.saved(fingerprinted(docs.filter("doc_id IS NOT NULL")))
+    classes = common.saved(prints.groupBy("f").agg(F.min("doc_id").alias("least")))
+    linked = graph.components(links(classes.select("f"), radius), "src", "dst")
+    named = classes.join(linked.withColumnRenamed("node", "f"), "f", "left").withColumn("component", F.coalesce("component", "f"))
+    # Fingerprints are ordered as they are written, that is, unsigned.
+    first = F.min(F.struct("least", F.lpad(F.lower(F.hex("f")), 16, "0").alias("print"), "f"))
+    keep = common.saved(named.groupBy("component").agg(first.alias("first")).select(F.col("first.least").alias("__id"), F.col("first.f").alias("__f")))
+    kept = docs.join(keep.select("__id").distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
+    shared = common.saved(prints.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id")))
+    single = kept.join(shared, F.col("doc_id") == F.col("__id"), "left_anti")
+
+    # Only rows of a shared doc_id have to be told apart, by their fingerprints.
+    @F.arrow_udf("bigint")
+    def printed(text: pa.Array) -> pa.Array:
+        return pa.array(fingerprints(text.to_pylist()).view(np.int64))
+
+    told = kept.join(shared, F.col("doc_id") == F.col("__id"), "left_semi").withColumn("__f", printed(F.col("text").cast("binary")))
+    told = told.join(keep.withColumnRenamed("__f", "__g"), (F.col("doc_id") == F.col("__id")) & (F.col("__f") == F.col("__g")), "left_semi")
+    order = Window.partitionBy("doc_id", "__f").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    told = told.withColumn("__n", F.row_number().over(order)).filter("__n = 1").select(*docs.columns)
+    return single.unionByName(told).unionByName(docs.filter("doc_id IS NULL"))

@@ -175,3 +175,18 @@ def test_no_benchmark(spark, docs):
     same(decontam.contamination(docs(EDGES), none), brute.contamination(EDGES, []))
     assert decontam.keep_clean(docs(EDGES), none).count() == len(EDGES)
     assert decontam.contamination(docs([]), spark.createDataFrame(ITEMS, "item_id bigint, text string")).collect() == []
+
+
+def test_one_of_each_with_shared_ids(docs):
+    r = random.Random(11)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(80)) for _ in range(4)]
+    near = next(t for k in range(500) if 0 < (brute.fingerprint(t := f"{texts[2]} tail{k}") ^ brute.fingerprint(texts[2])).bit_count() <= simhash.RADIUS)
+    data = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[1]), (4, texts[2]), (4, texts[2]), (5, texts[3]), (None, texts[3]), (None, texts[0])]
+    found = simhash.one_of_each(docs(data))
+    assert found.columns == docs(data).columns
+    assert sorted(((x.doc_id, x.text) for x in found.collect()), key=str) == sorted([(1, texts[0]), (1, texts[1]), (4, texts[2]), (5, texts[3]), (None, texts[3]), (None, texts[0])], key=str)
+    # Of one id's near copies the smallest fingerprint stays, of its equal fingerprints the smallest text.
+    copies = [(7, near), (7, texts[2]), (7, texts[2].upper()), (8, near)]
+    want = min((brute.fingerprint(t), t) for d, t in copies if d == 7)[1]
+    for order in (copies, copies[::-1]):
+        assert [(x.doc_id, x.text) for x in simhash.one_of_each(docs(order).repartition(3)).collect()] == [(7, want)]
