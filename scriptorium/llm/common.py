@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium import storage
+
 #: Bytes of words in the contract's word rule ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``
 #: stay (A-Z lower-cased first); every other byte becomes a space.
 WORD_BYTES = bytes(
@@ -26,52 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ready(spark: SparkSession) -> None:
-    """Sees to it that ``DataFrame.checkpoint`` has a folder.
-
-    The cluster's ``spark.checkpoint.dir`` is used where it is set; only where
-    nothing is set (local tests) a temporary folder serves.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scriptorium-")
-        )
-
+saved = storage.saved
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, its lineage cut.
 
-    Shuffle files that only the old lineage needed go when the driver's JVM
-    collects garbage, which a short job may never make it do; so it is asked to.
-    """
-    spark = df.sparkSession
-    ready(spark)
-    out = df.checkpoint(eager=True)
-    del df  # the last reference to its executed plan, where the caller keeps none
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column (in any case) has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 
-#: Rows that go to a Python worker at a time.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Keeps what a Python worker holds at a time to ``BATCH_ROWS`` texts.
-
-    The session's default of 10,000 suits rows of numbers. A smaller setting of
-    the session stays.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id bigint, text binary)``: what the Arrow kernels read."""
-    small_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")
     )
@@ -106,21 +76,57 @@ SPLIT_BYTES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 #: ... and the same with A-Z lower-cased.
 SPLIT_LOWER = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """``base ** i`` and its inverse modulo 2**64, for i up to ``n`` at least."""
-    if base not in _powers or len(_powers[base][0]) <= n:
-        size = max(1 << 16, 1 << (n + 1).bit_length())
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            both.append(np.multiply.accumulate(steps))
-        _powers[base] = (both[0], both[1])
-    return _powers[base]
+# The primes of XXH64.
+P1 = np.uint64(11400714785074694791)
+P2 = np.uint64(14029467366897019727)
+P3 = np.uint64(1609587929392839161)
+P4 = np.uint64(9650029242287828579)
+P5 = np.uint64(2870177450012600261)
+
+
+def _turned(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of many byte strings of one buffer, those of one size at a time."""
+    out = np.zeros(len(starts), np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    fours = np.ndarray((len(data) + 1,), "<u4", padded, strides=(1,))
+    order = np.argsort(sizes, kind="stable")
+    cuts = np.flatnonzero(np.diff(sizes[order])) + 1
+    with np.errstate(over="ignore"):
+        s = np.uint64(seed)
+        for own in np.split(order, cuts) if len(order) else []:
+            size, at = int(sizes[own[0]]), starts[own].astype(np.int64)
+            left = size
+            if size >= 32:
+                acc = [np.full(len(own), v, np.uint64) for v in (s + P1 + P2, s + P2, s, s - P1)]
+                for _ in range(size // 32):
+                    for k in range(4):
+                        acc[k] = _turned(acc[k] + eights[at + 8 * k] * P2, 31) * P1
+                    at = at + 32
+                h = _turned(acc[0], 1) + _turned(acc[1], 7) + _turned(acc[2], 12) + _turned(acc[3], 18)
+                for k in range(4):
+                    h = (h ^ (_turned(acc[k] * P2, 31) * P1)) * P1 + P4
+                left = size % 32
+            else:
+                h = np.full(len(own), s + P5, np.uint64)
+            h = h + np.uint64(size)
+            while left >= 8:
+                h = _turned(h ^ (_turned(eights[at] * P2, 31) * P1), 27) * P1 + P4
+                at, left = at + 8, left - 8
+            if left >= 4:
+                h = _turned(h ^ (fours[at].astype(np.uint64) * P1), 23) * P2 + P3
+                at, left = at + 4, left - 4
+            while left:
+                h = _turned(h ^ (padded[at].astype(np.uint64) * P5), 11) * P1
+                at, left = at + 1, left - 1
+            h = (h ^ (h >> np.uint64(33))) * P2
+            h = (h ^ (h >> np.uint64(29))) * P3
+            out[own] = h ^ (h >> np.uint64(32))
+    return out
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -160,20 +166,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        out = np.zeros(len(self), np.uint64)
-        most = 1 << 19
-        at = 0
-        while at < len(self):  # in runs of words, so that 64-bit copies of the bytes stay small
-            base = int(self.starts[at])
-            to = max(at + 1, int(np.searchsorted(self.starts, base + most)))
-            end = int(self.ends[to - 1])
-            up, down = powers(end - base)
-            total = np.zeros(end - base + 1, np.uint64)
-            np.cumsum((self.data[base:end].astype(np.uint64) + np.uint64(1)) * up[: end - base], out=total[1:])
-            starts, ends = self.starts[at:to] - base, self.ends[at:to] - base
-            out[at:to] = mixed((total[ends] - total[starts]) * down[starts])
-            at = to
-        return out
+        return xxh64(self.data, self.starts, self.ends - self.starts)
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
@@ -183,13 +176,25 @@ class Words:
         return self.data[self.starts[i] : self.ends[j - 1]].tobytes() if j > i else b""
 
 
-def runs(h: np.ndarray, n: int, base: int = 0xC6A4A7935BD1E995) -> np.ndarray:
-    """Hashes of every ``n`` consecutive entries of ``h``."""
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes.
+
+    No step is linear over a whole run, so sequences whose differences cancel in
+    a polynomial (such as a Thue-Morse word and its complement) stay apart.
+    """
+    h = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    h += b
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every ``n`` consecutive entries of ``h``, by joining ever longer runs."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
     out, size = h, 1
-    for bit in bin(n)[3:]:
-        out = out[:-size] * np.uint64(pow(base, size, 1 << 64)) + out[size:] if len(out) > size else out[:0]
-        size *= 2
-        if bit == "1":
-            out = out[:-1] * np.uint64(base) + h[size : size + len(out) - 1] if len(out) > 1 else out[:0]
-            size += 1
-    return mixed(out)
+    while 2 * size <= n:
+        out, size = joined(out[:-size], out[size:]), 2 * size
+    return joined(out[: len(h) - n + 1], out[n - size :]) if size < n else out if n > 1 else mixed(out)

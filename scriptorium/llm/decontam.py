@@ -224,7 +224,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     collects that block's spans beside the row, and the last one decides.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
     indexes = [] if benchmark.isEmpty() else blocks(benchmark)
     columns = docs.columns
     out = docs.withColumn("__spans", F.lit(None).cast("binary"))

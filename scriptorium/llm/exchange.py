@@ -1,13 +1,15 @@
 """Which hashes occur elsewhere: an exchange of packed blobs.
 
-Documents are dealt to batches by a hash of their id, a few megabytes of text
-each. A batch sends its distinct hashes, one blob for each bucket of hash
-values; a bucket answers each blob with one bit for each hash. A hash is sent
-once by a batch however often it occurs there, so a passage that a third of all
-documents share costs a bucket no more than any other, and nothing is sent to
-the driver. Both sides derive the same order of hashes from the same texts, so
-answers need not repeat them. Lost tasks are computed again from the input or
-from the checkpointed answers.
+Documents are packed into batches of a few megabytes of text where they are
+read, and stored once. A batch sends its distinct hashes, one blob for each
+bucket of hash values; a bucket answers each blob with one bit for each hash. A
+hash is sent once by a batch however often it occurs there, so a passage that a
+third of all documents share costs a bucket no more than any other, and nothing
+is sent to the driver. Both sides derive the same order of hashes from the same
+texts, so answers need not repeat them. Lost tasks are computed again from the
+stored batches or the checkpointed answers.
+
+The numbers of buckets and tasks follow the measured size of the texts.
 """
 
 from __future__ import annotations
@@ -17,45 +19,89 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import common
 
-#: Bytes of stored text in a batch, about, and batches in a partition.
+#: Bytes of text in a batch, about, and batches in a task.
 BATCH_BYTES = 4 << 20
 PER_TASK = 4
 #: Batches for one bucket, and buckets of a small table at most.
 PER_BUCKET = 8
 FEW_BUCKETS = 32
 
-KEYS = "bucket int, batch int, keys binary"
-ANSWERS = "batch int, bucket int, bits binary"
+DEALT = "batch bigint, n_bytes bigint, blob binary"
+KEYS = "bucket int, batch bigint, keys binary"
+ANSWERS = "batch bigint, bucket int, bits binary"
 
 
 @dataclass
 class Dealt:
-    """Documents with the number of their batch; how many batches and buckets."""
+    """Stored batches of documents; how many buckets and tasks suit their size."""
 
     docs: DataFrame
-    batches: int
     buckets: int
+    tasks: int
+
+    def by_batch(self, df: DataFrame):
+        return df.repartition(self.tasks, "batch").groupBy("batch")
+
+    def by_bucket(self, df: DataFrame):
+        return df.repartition(self.tasks, "bucket").groupBy("bucket")
+
+
+def pack(ids: list[int | None], raws: list[bytes | None]) -> bytes:
+    """Documents as one compressed blob."""
+    parts = [
+        np.array([len(ids)], "<i8").tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(),
+        np.array([len(r or b"") for r in raws], "<i8").tobytes(), *(r or b"" for r in raws),
+    ]
+    return squeezed(b"".join(parts))
+
+
+def unpack(blob: bytes) -> tuple[list[int | None], list[bytes]]:
+    raw = unsqueezed(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    null, own, sizes = np.frombuffer(raw, np.uint8, n, 8), np.frombuffer(raw, "<i8", n, 8 + n), np.frombuffer(raw, "<i8", n, 8 + 9 * n)
+    ends = 8 + 17 * n + np.cumsum(sizes)
+    ids = [None if x else i for i, x in zip(own.tolist(), null.tolist(), strict=True)]
+    return ids, [raw[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
+def _blobs(batches: Iterator[pa.RecordBatch]):
+    first, number = TaskContext.get().partitionId() << 32, 0
+    ids: list[int | None] = []
+    raws: list[bytes | None] = []
+    held = 0
+
+    def out():
+        row = [pa.array([first + number]), pa.array([sum(len(r or b"") for r in raws)], pa.int64()), pa.array([pack(ids, raws)], pa.binary())]
+        return pa.RecordBatch.from_arrays(row, names=["batch", "n_bytes", "blob"])
+
+    for batch in batches:
+        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            raw = raw.as_py()
+            ids.append(i)
+            raws.append(raw)
+            held += len(raw or b"") + 32
+            if held >= BATCH_BYTES:
+                yield out()
+                ids, raws, held, number = [], [], 0, number + 1
+    if ids:
+        yield out()
 
 
 def deal(docs: DataFrame) -> Dealt:
-    """``(doc_id, text, batch)`` with batches of about ``BATCH_BYTES``."""
-    spark = docs.sparkSession
-    width = common.shuffle_width(spark)
-    own = common.texts(docs)
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > 1 << 50:  # no estimate: count
-        size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = max(width, size // (BATCH_BYTES * PER_TASK))
-    batches = tasks * PER_TASK
-    dealt = own.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).repartition(tasks, "batch")
+    """The documents in stored batches of about ``BATCH_BYTES``, where they lie."""
+    stored = common.saved(common.texts(docs).mapInArrow(_blobs, DEALT))
+    size = stored.agg(F.sum("n_bytes")).first()[0] or 0
+    width = common.shuffle_width(docs.sparkSession)
     # Blobs are as many as batches times buckets: buckets follow the table's size,
     # not the number of shuffle partitions.
-    return Dealt(dealt, batches, max(min(width, FEW_BUCKETS), size // (BATCH_BYTES * PER_BUCKET)))
+    buckets = max(min(width, FEW_BUCKETS), size // (BATCH_BYTES * PER_BUCKET))
+    return Dealt(stored, buckets, max(width, size // (BATCH_BYTES * PER_TASK)))
 
 
 def shares(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -68,10 +114,10 @@ def shares(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def table(schema: str, rows: list[tuple]) -> pa.Table:
-    """Rows of (int, int, bytes) under the names of ``schema``."""
+    """Rows under the names and types of ``schema``."""
     names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.binary()]
-    columns = zip(*rows, strict=True) if rows else ((), (), ())
+    kinds = [{"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}[f.split()[1]] for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
@@ -100,7 +146,7 @@ def _halves(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob, "<u4", offset=head), bits(blob[:head], n)
 
 
-def _answer_repeats(rows: pa.Table) -> pa.Table:
+def answer_repeats(rows: pa.Table) -> pa.Table:
     sent = [(b, *_halves(blob)) for b, blob in zip(rows["batch"].to_pylist(), rows["keys"].to_pylist(), strict=True)]
     keys = np.concatenate([k for _, k, _ in sent])
     order = np.sort(keys)
@@ -117,11 +163,6 @@ def _answer_repeats(rows: pa.Table) -> pa.Table:
     return table(ANSWERS, out)
 
 
-def answer_repeats(sent: DataFrame) -> DataFrame:
-    """Rows of ANSWERS: which of a batch's keys occur more than once."""
-    return sent.groupBy("bucket").applyInArrow(_answer_repeats, ANSWERS)
-
-
 def answered(keys: np.ndarray, buckets: int, answers: dict[int, bytes]) -> np.ndarray:
     """The answers put back in the order of the keys; no answer is a no."""
     out = np.zeros(len(keys), bool)
@@ -135,36 +176,34 @@ def answered(keys: np.ndarray, buckets: int, answers: dict[int, bytes]) -> np.nd
 
 
 def send_least(batch: int, keys: np.ndarray, least: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows of KEYS: sorted distinct keys in full, each with its least value."""
+    """Rows of KEYS: sorted distinct digests (two columns of 64 bits), each with its least value."""
     return [
-        (b, batch, keys[own].astype("<u8").tobytes() + least[own].astype("<i8").tobytes()) for b, own in shares(keys, buckets)
+        (b, batch, keys[own].astype("<u8").tobytes() + least[own].astype("<i8").tobytes()) for b, own in shares(keys[:, 0], buckets)
     ]
 
 
-def _answer_least(rows: pa.Table) -> pa.Table:
+def answer_least(rows: pa.Table) -> pa.Table:
+    """Rows of ANSWERS: which of a batch's digests another has with a lesser value."""
     sent = []
     for b, blob in zip(rows["batch"].to_pylist(), rows["keys"].to_pylist(), strict=True):
-        n = len(blob) // 16
-        sent.append((b, np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<i8", n, 8 * n)))
+        n = len(blob) // 24
+        sent.append((b, np.frombuffer(blob, "<u8", 2 * n).reshape(n, 2), np.frombuffer(blob, "<i8", n, 16 * n)))
     keys = np.concatenate([k for _, k, _ in sent])
     values = np.concatenate([v for _, _, v in sent])
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    known, low = keys[first], np.minimum.reduceat(values, first)
-    bucket, out = rows["bucket"][0].as_py(), []
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    first = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]).any(1)])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(first) - 1
+    low = np.minimum.reduceat(values[order], np.flatnonzero(first))
+    bucket, out, at = rows["bucket"][0].as_py(), [], 0
     for batch, own, least in sent:
-        less = low[np.searchsorted(known, own)] < least
+        less = low[group[at : at + len(own)]] < least
+        at += len(own)
         if less.any():
             out.append((batch, bucket, np.packbits(less).tobytes()))
     return table(ANSWERS, out)
 
 
-def answer_least(sent: DataFrame) -> DataFrame:
-    """Rows of ANSWERS: which of a batch's keys another has with a lesser value."""
-    return sent.groupBy("bucket").applyInArrow(_answer_least, ANSWERS)
-
-
 def by_bucket(answers: pa.Table) -> dict[int, bytes]:
     return dict(zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True))
 

@@ -39,6 +39,8 @@ OP7 = """
 WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
 x AS (SELECT doc_id, k, md5(raw[k:k + 399]) AS h FROM (SELECT doc_id, raw, unnest(range(1, octet_length(raw) - 398)) AS k FROM t WHERE octet_length(raw) >= 400)),
 c AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY h) AS n FROM x) WHERE n > 1),
+y AS (SELECT doc_id, md5(raw[k:k + 299]) AS h FROM (SELECT doc_id, raw, unnest(range(1, octet_length(raw) - 298)) AS k FROM t WHERE octet_length(raw) >= 300)),
+e AS (SELECT DISTINCT doc_id, 1 AS earlier FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS least FROM y) WHERE least < doc_id),
 g AS (SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM
   (SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 400 THEN 0 ELSE 1 END AS fresh FROM c)),
 r AS (SELECT doc_id, min(k) AS a, max(k) + 399 AS b FROM g GROUP BY doc_id, run),
@@ -47,8 +49,8 @@ k AS (SELECT doc_id, string_agg(hex(raw)[2 * a - 1:2 * b], '' ORDER BY a) AS kep
   (SELECT doc_id, raw, s.a, s.b FROM t JOIN (SELECT doc_id, coalesce(lag(b) OVER w + 1, 1) AS a, a - 1 AS b FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY a)
      UNION ALL SELECT doc_id, max(b) + 1, 2147483647 FROM r GROUP BY doc_id) s USING (doc_id)) GROUP BY 1)
 SELECT doc_id, CAST(octet_length(raw) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(CASE WHEN n_removed IS NULL THEN raw ELSE unhex(coalesce(kept, '')) END) AS kept_sha256
-FROM t LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)"""
+  CAST(coalesce(earlier, 0) AS INTEGER) AS repeats_earlier, sha256(CASE WHEN n_removed IS NULL THEN raw ELSE unhex(coalesce(kept, '')) END) AS kept_sha256
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN e USING (doc_id)"""
 
 OP9 = f"""
 WITH t AS (SELECT doc_id, {_SPACED} AS w FROM documents),

@@ -285,8 +285,6 @@ def replace_text(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
     An integer column ``n_chars`` follows the new text.
     """
-    common.small_batches(docs.sparkSession)
-
     @F.arrow_udf("binary")
     def replaced(text: pa.Array) -> pa.Array:
         return pa.array([pseudonyms(raw, key)[0] for raw in text.to_pylist()], pa.binary())

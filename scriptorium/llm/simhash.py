@@ -41,59 +41,6 @@ TILE = 1024
 #: Distinct fingerprints up to which so many segments serve.
 SEGMENTS = ((1 << 17, 2), (1 << 23, 4), (1 << 33, 8), (1 << 62, 16))
 
-# The primes of XXH64.
-P1 = np.uint64(11400714785074694791)
-P2 = np.uint64(14029467366897019727)
-P3 = np.uint64(1609587929392839161)
-P4 = np.uint64(9650029242287828579)
-P5 = np.uint64(2870177450012600261)
-
-
-def _turned(x: np.ndarray, r: int) -> np.ndarray:
-    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-
-
-def xxh64(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """XXH64 of many byte strings of one buffer, those of one size at a time."""
-    out = np.zeros(len(starts), np.uint64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    fours = np.ndarray((len(data) + 1,), "<u4", padded, strides=(1,))
-    order = np.argsort(sizes, kind="stable")
-    cuts = np.flatnonzero(np.diff(sizes[order])) + 1
-    with np.errstate(over="ignore"):
-        s = np.uint64(seed)
-        for own in np.split(order, cuts) if len(order) else []:
-            size, at = int(sizes[own[0]]), starts[own].astype(np.int64)
-            left = size
-            if size >= 32:
-                acc = [np.full(len(own), v, np.uint64) for v in (s + P1 + P2, s + P2, s, s - P1)]
-                for _ in range(size // 32):
-                    for k in range(4):
-                        acc[k] = _turned(acc[k] + eights[at + 8 * k] * P2, 31) * P1
-                    at = at + 32
-                h = _turned(acc[0], 1) + _turned(acc[1], 7) + _turned(acc[2], 12) + _turned(acc[3], 18)
-                for k in range(4):
-                    h = (h ^ (_turned(acc[k] * P2, 31) * P1)) * P1 + P4
-                left = size % 32
-            else:
-                h = np.full(len(own), s + P5, np.uint64)
-            h = h + np.uint64(size)
-            while left >= 8:
-                h = _turned(h ^ (_turned(eights[at] * P2, 31) * P1), 27) * P1 + P4
-                at, left = at + 8, left - 8
-            if left >= 4:
-                h = _turned(h ^ (fours[at].astype(np.uint64) * P1), 23) * P2 + P3
-                at, left = at + 4, left - 4
-            while left:
-                h = _turned(h ^ (padded[at].astype(np.uint64) * P5), 11) * P1
-                at, left = at + 1, left - 1
-            h = (h ^ (h >> np.uint64(33))) * P2
-            h = (h ^ (h >> np.uint64(29))) * P3
-            out[own] = h ^ (h >> np.uint64(32))
-    return out
-
-
 def fingerprints(raws: list[bytes | None]) -> np.ndarray:
     """The 64-bit fingerprint of each text."""
     out = np.zeros(len(raws), np.uint64)
@@ -107,7 +54,7 @@ def fingerprints(raws: list[bytes | None]) -> np.ndarray:
     word = np.arange(number.sum()) - np.repeat(begin - w.first[some], number)
     last = word + np.repeat(np.minimum(counts[some], SHINGLE), number) - 1
     starts = w.starts[word]
-    h = xxh64(w.data, starts, w.ends[last] - starts)
+    h = common.xxh64(w.data, starts, w.ends[last] - starts, SEED)
     most = 1 << 16
     ones = np.zeros((len(some), 64), np.int64)
     owner = np.repeat(np.arange(len(some)), number)

@@ -4,14 +4,13 @@ A window is 50 consecutive words of one document. Words are hashed at anchors
 only: positions whose remainder modulo 31 is in a set of 6 that holds every
 difference modulo 31. Two equal windows, wherever they start, then have an
 anchor at the same distance below 31 from their starts, and the 20 words from
-there lie within both. Anchor hashes that occur in two documents mark candidate
-windows, all those an anchor extends to; a candidate window is hashed whole, and
-the smallest doc_id that holds the hash decides. Both questions are answered by
-the exchange of ``exchange.py``: no document meets another, and a passage shared
-by very many documents is sent once by each batch of documents.
-
-Windows are told apart by 64-bit hashes of their word sequence (two different
-windows in a corpus of 10**9 candidates meet by chance with odds of 1 in 37).
+there lie within both. Anchor hashes that occur in two documents mark candidates:
+each anchor is extended to all windows that hold it, and an extension counts only
+where all 50 words agree, which is decided by 128-bit BLAKE2b digests of the
+windows' bytes, never by the anchors' 64-bit hashes. The smallest doc_id that
+holds a window decides. Both questions are answered by the exchange of
+``exchange.py``: no document meets another, and a passage shared by very many
+documents is sent once by each batch of documents.
 
 Defined cases: null and empty texts have no words; texts of fewer than 50 words
 lose none; rows with the same doc_id do not count as smaller than each other; a
@@ -22,6 +21,7 @@ result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 SPAN = WINDOW - PERIOD + 1
 LAST = np.iinfo(np.int64).max
 
-SECOND = "kind string, batch int, bucket int, blob binary, doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+SECOND = "kind string, batch bigint, bucket int, blob binary, doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
@@ -85,15 +85,22 @@ class Batch:
         return np.flatnonzero(np.cumsum(step[:-1]) > 0)
 
     def windows(self, starts: np.ndarray) -> np.ndarray:
-        whole = common.runs(self.hashes, WINDOW)
-        return whole[starts] if len(starts) else np.zeros(0, np.uint64)
+        """Digests of the windows at ``starts``, as two columns of 64 bits."""
+        data = memoryview(np.ascontiguousarray(self.words.data))
+        low, high = self.words.starts[starts].tolist(), self.words.ends[starts + WINDOW - 1].tolist()
+        out = b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(low, high, strict=True)])
+        return np.frombuffer(out, "<u8").reshape(-1, 2)
 
     def least(self, starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct window hashes, their least rank here, and where each start's is."""
-        known, which = np.unique(keys, return_inverse=True)
-        low = np.full(len(known), LAST, np.int64)
+        """Sorted distinct digests, their least rank here, and where each start's is."""
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        first = np.ones(len(order), bool)
+        first[1:] = (keys[order[1:]] != keys[order[:-1]]).any(1)
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(first) - 1
+        low = np.full(int(first.sum()), LAST, np.int64)
         np.minimum.at(low, which, self.rank[self.owner[starts]])
-        return known, low, which
+        return keys[order[first]], low, which
 
     def digest(self, i: int, removed: np.ndarray | None = None) -> tuple[int, str]:
         """Number of words removed from document i, and the hash of the rest."""
@@ -112,21 +119,20 @@ def _steps(places: np.ndarray) -> bytes:
     return np.diff(places, prepend=0).astype("<i4").tobytes()
 
 
-def _batch(rows: pa.Table) -> Batch:
-    return Batch(rows["doc_id"].to_pylist(), rows["text"].to_pylist())
-
-
-def _first(rows: pa.Table, buckets: int) -> pa.Table:
-    b = _batch(rows)
-    keys, several = b.distinct(*b.anchors())
-    return exchange.table(exchange.KEYS, exchange.send_repeats(rows["batch"][0].as_py(), keys, several, buckets))
+def _first(batches: Iterator[pa.RecordBatch], buckets: int):
+    for rows in batches:
+        for batch, blob in zip(rows.column(0).to_pylist(), rows.column(2), strict=True):
+            b = Batch(*exchange.unpack(blob.as_py()))
+            keys, several = b.distinct(*b.anchors())
+            yield from exchange.table(exchange.KEYS, exchange.send_repeats(batch, keys, several, buckets)).to_batches()
 
 
 def _second(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """Finished documents, documents with candidates, and window hashes."""
     out: list[tuple] = []
-    if rows.num_rows:
-        b, batch = _batch(rows), rows["batch"][0].as_py()
+    for batch, blob in zip(rows["batch"].to_pylist(), rows["blob"], strict=True):
+        ids, texts = exchange.unpack(blob.as_py())
+        b = Batch(ids, texts)
         starts = np.zeros(0, np.int64)
         if answers.num_rows:
             at, spans = b.anchors()
@@ -135,20 +141,17 @@ def _second(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
             starts = b.candidates(at[np.isin(spans, repeated)])
         some = set(np.unique(b.owner[starts]).tolist())
         cuts = np.searchsorted(starts, b.words.first)
-        texts = rows["text"]
         for i, doc_id in enumerate(b.ids):
             if i in some:
                 own = _steps(starts[cuts[i] : cuts[i + 1]] - b.words.first[i])
-                blob = exchange.squeezed(len(own).to_bytes(8, "little") + own + texts[i].as_py())
+                blob = exchange.squeezed(len(own).to_bytes(8, "little") + own + texts[i])
                 out.append(("doc", batch, None, blob, doc_id, None, None, None))
             else:
                 n, digest = b.digest(i)
                 out.append(("done", batch, None, None, doc_id, int(b.counts[i]), n, digest))
         keys, low, _ = b.least(starts, b.windows(starts))
         out += [("keys", batch, bucket, blob, None, None, None, None) for bucket, _, blob in exchange.send_least(batch, keys, low, buckets)]
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    columns = zip(*out, strict=True) if out else [()] * len(kinds)
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in SECOND.split(", ")])
+    return exchange.table(SECOND, out)
 
 
 def _third(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
@@ -164,7 +167,7 @@ def _third(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         b = Batch(rows["doc_id"].to_pylist(), raws)
         starts = np.concatenate([p + b.words.first[i] for i, p in enumerate(places)])
         keys, low, which = b.least(starts, b.windows(starts))
-        less = exchange.answered(keys, buckets, exchange.by_bucket(answers))
+        less = exchange.answered(keys[:, 0], buckets, exchange.by_bucket(answers))
         gone = less[which] | (low[which] < b.rank[b.owner[starts]])
         step = np.zeros(len(b.words) + 1, np.int64)
         np.add.at(step, starts[gone], 1)
@@ -173,27 +176,20 @@ def _third(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         for i, doc_id in enumerate(b.ids):
             n, digest = b.digest(i, removed[b.words.first[i] : b.words.first[i + 1]])
             out.append((doc_id, int(b.counts[i]), n, digest))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    columns = zip(*out, strict=True) if out else [()] * 4
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in RESULT.split(", ")])
+    return exchange.table(RESULT, out)
 
 
 def repeated_words(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every row of ``docs``."""
     dealt = exchange.deal(docs)
     buckets = dealt.buckets
-    sent = dealt.docs.groupBy("batch").applyInArrow(lambda rows: _first(rows, buckets), exchange.KEYS)
-    answers = common.saved(exchange.answer_repeats(sent))
+    sent = dealt.docs.mapInArrow(lambda it: _first(it, buckets), exchange.KEYS)
+    answers = common.saved(dealt.by_bucket(sent).applyInArrow(exchange.answer_repeats, exchange.ANSWERS))
     second = common.saved(
-        dealt.docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda rows, own: _second(rows, own, buckets), SECOND)
+        dealt.by_batch(dealt.docs).cogroup(dealt.by_batch(answers)).applyInArrow(lambda rows, own: _second(rows, own, buckets), SECOND)
     )
     keys = second.filter("kind = 'keys'").selectExpr("bucket", "batch", "blob AS keys")
-    less = exchange.answer_least(keys)
-    judged = (
-        second.filter("kind = 'doc'")
-        .select("batch", "doc_id", "blob")
-        .groupBy("batch")
-        .cogroup(less.groupBy("batch"))
-        .applyInArrow(lambda rows, own: _third(rows, own, buckets), RESULT)
-    )
+    less = dealt.by_bucket(keys).applyInArrow(exchange.answer_least, exchange.ANSWERS)
+    held = second.filter("kind = 'doc'").select("batch", "doc_id", "blob")
+    judged = dealt.by_batch(held).cogroup(dealt.by_batch(less)).applyInArrow(lambda rows, own: _third(rows, own, buckets), RESULT)
     return second.filter("kind = 'done'").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(judged)

@@ -2,65 +2,87 @@
 
 A byte goes if a 400-byte string that covers it also starts anywhere else.
 
-*Which suffixes.* Of every 201 consecutive places the one whose 200-byte hash is
-smallest is an anchor: two equal 400-byte strings have the same anchors at the
-same distances from their starts. Anchors whose 200 bytes occur once are done;
-the exchange of ``exchange.py`` tells which occur more often.
+*Which suffixes.* Of every 151 consecutive places the one whose 150-byte hash is
+smallest is an anchor: two equal strings of 300 bytes or more have the same
+anchors at the same distances from their starts. Anchors whose 150 bytes occur
+once are done; the exchange of ``exchange.py`` tells which occur more often.
 
-*The sort.* The anchors left send their surroundings (200 bytes before, 400 from
+*The sort.* The anchors left send their surroundings (150 bytes before, 400 from
 the anchor on, cut at the text's ends; equal ones of a batch once) to a bucket
 of their hash. There the suffixes of one anchor hash are sorted by a merge sort
 whose comparisons find the common extension of two suffixes by binary search
-over prefix polynomial hashes; the reversed prefixes before the anchors are
-sorted the same way. Neighbours' extensions are verified byte by byte; if a hash
-has collided the sort is repeated with another base. A group's distinct
-extensions cut the sorted suffixes into classes; within a class the neighbours
-in the order of the reversed prefixes tell how far the match goes to the left.
-That gives every start whose 400 bytes occur elsewhere, exactly.
+over prefix polynomial hashes (modulo 2**31 - 1, under two bases); the reversed
+prefixes before the anchors are sorted the same way. Neighbours' extensions are
+verified byte by byte; if a hash has collided the sort is repeated with other
+bases. A group's distinct extensions cut the sorted suffixes into classes; within
+a class the neighbours in the order of the reversed prefixes tell how far the
+match goes to the left. That gives every start whose 400 bytes occur elsewhere,
+exactly.
 
 *Hot anchors.* An anchor hash that occurs over ``HOT`` times is not sorted in one
-place: its at most 201 strings of 400 bytes go to the exchange by their own
-64-bit hashes, one for each distinct string and batch. So no task holds an
-unbounded group, and no pairs are listed.
+place: its at most 151 strings of 400 bytes go to the exchange, one for each
+distinct string and batch, and are told apart by 128-bit BLAKE2b digests of all
+their bytes. So no task holds an unbounded group, and no pairs are listed. Both
+ways give the same answers; equality never rests on the anchors' 64-bit hashes.
+
+*Shorter repeats.* Passages of 300 to 399 bytes stay, but they can be told:
+``repeats_earlier`` is 1 if a text holds a 300-byte string that also starts in a
+text with a smaller doc_id. The same classes tell it, by the smallest doc_id of
+each run of neighbours whose common part has 300 bytes.
 
 Defined cases: null and empty texts have no bytes; texts under 400 bytes lose
 none; rows with the same doc_id are texts of their own, and equal texts remove
-each other; matches never cross texts; an empty table gives an empty result.
+each other but none of them is the earlier; a null doc_id counts as larger than every
+other; matches never cross texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import random
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from scriptorium.llm import common, exchange
 
 LENGTH = 400
-GRAM = 200
-REACH = LENGTH - GRAM
+GRAM = 150
+REACH = 150
+#: Strings of so many bytes share their anchors.
+SPAN = GRAM + REACH
 HOT = 256
+LAST = np.iinfo(np.int64).max
 #: Bytes of surroundings sorted at a time, and of text hashed at a time.
 CHUNK = 1 << 20
-BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
+STEP = 1 << 15
+#: The modulus of the prefix hashes, and their bases, tried pair by pair.
+PRIME_BITS = 31
+PRIME = np.uint64((1 << PRIME_BITS) - 1)
+BASES = [tuple(random.Random(k).sample(range(1 << 20, (1 << PRIME_BITS) - 1), 2)) for k in range(16)]
 
-ANSWERS = "batch int, bucket int, kind string, bits binary"
-SENT = "kind string, batch int, bucket int, blob binary, doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+ANSWERS = "batch bigint, bucket int, kind string, bits binary"
+SENT = "kind string, batch bigint, bucket int, blob binary, doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, repeats_earlier int, kept_sha256 string"
+RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, repeats_earlier int, kept_sha256 string"
 
 
 def string_hashes(data: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of every ``n`` consecutive bytes."""
-    size = len(data)
-    if size < n:
+    """64-bit hashes of every ``n`` (at least 8) consecutive bytes, joined from eights."""
+    size = len(data) - n + 1
+    if size < 1:
         return np.zeros(0, np.uint64)
-    up, down = common.powers(size)
-    total = np.zeros(size + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:size], out=total[1:])
-    return common.mixed((total[n:] - total[:-n]) * down[: size - n + 1])
+    eights = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    out = np.empty(size, np.uint64)
+    for at in range(0, size, STEP):
+        h, own = common.mixed(eights[at : at + STEP + n - 8]), 8
+        while 2 * own <= n:
+            h, own = common.joined(h[:-own], h[own:]), 2 * own
+        last = min(STEP, size - at)
+        out[at : at + STEP] = common.joined(h[:last], h[n - own : n - own + last]) if own < n else h
+    return out
 
 
 def _slid(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -74,7 +96,7 @@ def _slid(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, place and hash of the anchors of texts of 400 bytes or more."""
+    """Text number, place and hash of the anchors of texts of ``SPAN`` bytes or more."""
     owners, places, keys = [], [], []
     group, held = [], 0
     for i, raw in enumerate(raws):
@@ -88,7 +110,7 @@ def anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         short = (grams >> np.uint64(32)).astype(np.uint32)
         least = _slid(short, REACH + 1, np.minimum)
         for e in ends[:-1]:  # windows that cross into the next text don't count
-            least[max(0, e - LENGTH + 1) : e] = 0
+            least[max(0, e - SPAN + 1) : e] = 0
         pad = np.zeros(REACH, np.uint32)
         at = np.flatnonzero(_slid(np.concatenate([pad, least, pad]), REACH + 1, np.maximum) == short)
         # A gram that crosses texts may equal nothing: its windows are all 0, so
@@ -112,29 +134,51 @@ class Collision(Exception):
     """Two different strings have the same hash under this base."""
 
 
+def _rest(x: np.ndarray) -> np.ndarray:
+    """Remainders of numbers below 2**62 by the prime 2**31 - 1."""
+    x = (x & PRIME) + (x >> np.uint64(PRIME_BITS))
+    x = (x & PRIME) + (x >> np.uint64(PRIME_BITS))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    """``base ** i`` for i up to ``n``, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) <= n:
+        out = np.concatenate([out, _rest(out * np.uint64(pow(base, len(out), int(PRIME))))])
+    return out[: n + 1]
+
+
 class Suffixes:
     """Strings of a buffer, in groups, compared by hashed common extensions."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, group: np.ndarray, base: int):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, group: np.ndarray, bases: tuple[int, int]):
         self.data, self.starts, self.sizes, self.group = data, starts, sizes, group
         n = len(data)
-        up, self.down = common.powers(n, base)
-        self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.total[1:])
+        self.sums = []
+        for base in bases:
+            power, total = _powers(n, base), np.zeros(n + 1, np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n] % PRIME, out=total[1:])
+            self.sums.append((_rest(total), power[::-1].copy()))
         self.bytes = data.tobytes()
 
-    def _hash(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (self.total[at + n] - self.total[at]) * self.down[at]
+    def _same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the ``n`` bytes at a and b have the same hashes."""
+        out = np.ones(len(a), bool)
+        for total, up in self.sums:  # sums are brought to one power by what they lack to the largest
+            left = _rest((total[a + n] + PRIME - total[a]) * up[a])
+            out &= left == _rest((total[b + n] + PRIME - total[b]) * up[b])
+        return out
 
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common prefix of strings x and y, by binary search."""
         a, b = self.starts[x], self.starts[y]
         low, high = np.zeros(len(x), np.int64), np.minimum(self.sizes[x], self.sizes[y])
-        whole = self._hash(a, high) == self._hash(b, high)
+        whole = self._same(a, b, high)
         low[whole] = high[whole]
         while (open_ := np.flatnonzero(low < high)).size:
             mid = (low[open_] + high[open_] + 1) // 2
-            same = self._hash(a[open_], mid) == self._hash(b[open_], mid)
+            same = self._same(a[open_], b[open_], mid)
             low[open_[same]] = mid[same]
             high[open_[~same]] = mid[~same] - 1
         return low
@@ -205,38 +249,40 @@ class Suffixes:
                 raise Collision
 
 
-def recurring(contexts: list[bytes], lefts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def recurring(contexts: list[bytes], lefts: np.ndarray, keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows (context, a1, a2): strings that start a1 to a2 bytes before the
-    context's anchor occur with another context of the same key.
+    context's anchor occur with another context of the same key. And for each
+    context the least rank of those that share a string of ``SPAN`` bytes with it.
 
     ``keys`` are sorted; a context is its ``lefts`` bytes before the anchor and
     the rest from the anchor on.
     """
-    for base in BASES + tuple(random.Random(0).getrandbits(64) | 1 for _ in range(16)):
+    for bases in BASES:
         try:
-            return _recurring(contexts, lefts, keys, base)
+            return _recurring(contexts, lefts, keys, ranks, bases)
         except Collision:
             continue
     raise RuntimeError("hash collisions under every base")
 
 
-def _recurring(contexts: list[bytes], lefts: np.ndarray, keys: np.ndarray, base: int) -> np.ndarray:
+def _recurring(contexts: list[bytes], lefts: np.ndarray, keys: np.ndarray, ranks: np.ndarray, bases: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     n = len(contexts)
     sizes = np.array([len(c) for c in contexts], np.int64)
     ends = np.cumsum(sizes)
     anchor = ends - sizes + lefts
     data = np.frombuffer(b"".join(contexts), np.uint8)
     group = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
-    right = Suffixes(data, anchor, sizes - lefts, group, base)
+    right = Suffixes(data, anchor, sizes - lefts, group, bases)
     order = right.order()
     extent = right.neighbours(order)
-    left = Suffixes(np.ascontiguousarray(data[::-1]), len(data) - anchor, lefts, group, base)
+    left = Suffixes(np.ascontiguousarray(data[::-1]), len(data) - anchor, lefts, group, bases)
     left_order = left.order()
     left.neighbours(left_order)
     rank = np.empty(n, np.int64)
     rank[left_order] = np.arange(n)
     # Distinct extensions of each group, longest first; only those that can reach.
-    linked = np.flatnonzero(extent >= GRAM)
+    least = ranks.copy()
+    linked = np.flatnonzero(extent >= SPAN - REACH)
     pairs = np.unique(np.stack([group[order[linked]], -extent[linked]], 1), axis=0) if len(linked) else np.zeros((0, 2), np.int64)
     begin = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])) if len(pairs) else np.zeros(0, np.int64)
     stop = np.append(begin[1:], len(pairs))
@@ -256,17 +302,22 @@ def _recurring(contexts: list[bytes], lefts: np.ndarray, keys: np.ndarray, base:
         new[1:] = (extent[act[1:] - 1] < reach[1:]) | (act[1:] - 1 != act[:-1])
         cls = np.cumsum(new)
         by = np.lexsort((rank[order[act]], cls))
-        x, y = order[act[by[:-1]]], order[act[by[1:]]]
+        own, need = order[act[by]], reach[by]
+        x, y, r = own[:-1], own[1:], need[:-1]
+        far = np.full(len(x), -1, np.int64)
         both = np.flatnonzero(cls[by[:-1]] == cls[by[1:]])
-        x, y, r = x[both], y[both], reach[by[:-1]][both]
-        far = left.extension(x, y)
-        left.verify(x, y, far)
-        ok = far >= LENGTH - r
+        far[both] = left.extension(x[both], y[both])
+        left.verify(x[both], y[both], far[both])
+        ok = (far >= 0) & (far >= LENGTH - r)
         for one in (x, y):
             found.append(np.stack([one[ok], np.maximum(LENGTH - r[ok], 0), far[ok]], 1))
+        fresh = np.concatenate([[True], (far < 0) | (far < SPAN - r)])  # runs that share SPAN bytes
+        low = np.minimum.reduceat(ranks[own], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+        alone = fresh & np.append(fresh[1:], True)
+        least[own[~alone]] = np.minimum(least[own[~alone]], low[~alone])
         step += 1
     rows = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-    return np.unique(rows, axis=0)
+    return np.unique(rows, axis=0), least
 
 
 # --- batches ----------------------------------------------------------------
@@ -275,8 +326,8 @@ def _recurring(contexts: list[bytes], lefts: np.ndarray, keys: np.ndarray, base:
 class Batch:
     """The anchors of a batch of texts and their surroundings."""
 
-    def __init__(self, raws: list[bytes]):
-        self.raws = raws
+    def __init__(self, raws: list[bytes], ranks: np.ndarray):
+        self.raws, self.ranks = raws, ranks
         self.owner, self.place, self.keys = anchors(raws)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
@@ -284,6 +335,12 @@ class Batch:
         keys, counts = np.unique(self.keys, return_counts=True)
         return keys, np.minimum(counts, 255)
 
+    def least(self, owners: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+        """The least rank of the texts that have each of ``n`` things."""
+        out = np.full(n, LAST, np.int64)
+        np.minimum.at(out, which, self.ranks[owners])
+        return out
+
     def contexts(self, wanted: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, bytes]], np.ndarray, np.ndarray]:
         """Distinct surroundings of anchors with wanted (sorted) hashes.
 
@@ -303,38 +360,44 @@ class Batch:
         which = new[which]
         return at, entries, which, np.bincount(which, minlength=len(entries))
 
-    def strings(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Owner, start and hash of the 400-byte strings around wanted anchors."""
+    def strings(self, wanted: np.ndarray, size: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Owner, start and digest (two columns) of the strings of ``size`` bytes around wanted anchors."""
         at = np.flatnonzero(np.isin(self.keys, wanted))
         owners, starts, hashes = [], [], []
         for i in np.unique(self.owner[at]).tolist():
             p = self.place[at[self.owner[at] == i]]
             n = len(self.raws[i])
             step = np.zeros(n + 1, np.int64)
-            low, high = np.maximum(p - REACH, 0), np.minimum(p, n - LENGTH)
+            low, high = np.maximum(p - REACH, 0), np.minimum(p, n - size)
             np.add.at(step, low[low <= high], 1)
             np.add.at(step, high[low <= high] + 1, -1)
             s = np.flatnonzero(np.cumsum(step[:-1]) > 0)
             owners.append(np.full(len(s), i))
             starts.append(s)
-            hashes.append(string_hashes(np.frombuffer(self.raws[i], np.uint8), LENGTH)[s])
+            data = memoryview(self.raws[i])
+            hashes += [hashlib.blake2b(data[a : a + size], digest_size=16).digest() for a in s.tolist()]
         none = [np.zeros(0, np.int64)]
-        return np.concatenate(owners or none), np.concatenate(starts or none), np.concatenate(hashes or [np.zeros(0, np.uint64)])
+        return np.concatenate(owners or none), np.concatenate(starts or none), np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2)
 
 
 def _by_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _long(rows: pa.Table) -> list[bytes]:
-    return [t for t in rows["text"].to_pylist() if t and len(t) >= LENGTH]
+def _long(blob: bytes) -> tuple[list[int], list[int | None], list[bytes], Batch]:
+    """Numbers of the long texts, all ids and texts, and the long ones' anchors."""
+    ids, texts = exchange.unpack(blob)
+    long = [i for i, t in enumerate(texts) if len(t) >= SPAN]
+    ranks = np.array([LAST if ids[i] is None else ids[i] for i in long], np.int64)
+    return long, ids, texts, Batch([texts[i] for i in long], ranks)
 
 
-def _first(rows: pa.Table, buckets: int) -> pa.Table:
-    keys, counts = Batch(_long(rows)).distinct()
-    batch = rows["batch"][0].as_py()
-    out = [(b, batch, keys[own].astype("<u4").tobytes() + counts[own].astype(np.uint8).tobytes()) for b, own in exchange.shares(keys, buckets)]
-    return exchange.table(exchange.KEYS, out)
+def _first(batches: Iterator[pa.RecordBatch], buckets: int):
+    for rows in batches:
+        for batch, blob in zip(rows.column(0).to_pylist(), rows.column(2), strict=True):
+            keys, counts = _long(blob.as_py())[-1].distinct()
+            out = [(b, batch, keys[own].astype("<u4").tobytes() + counts[own].astype(np.uint8).tobytes()) for b, own in exchange.shares(keys, buckets)]
+            yield from exchange.table(exchange.KEYS, out).to_batches()
 
 
 def _answer_first(rows: pa.Table, hot: int) -> pa.Table:
@@ -364,74 +427,79 @@ def _states(keys: np.ndarray, buckets: int, answers: dict[int, bytes]) -> np.nda
     return out
 
 
-def _digest(raw: bytes | None, removed: np.ndarray | None = None) -> tuple[int, int, int, str]:
-    raw = raw or b""
+def _digest(raw: bytes, removed: np.ndarray | None = None, earlier: int = 0) -> tuple[int, int, int, int, str]:
     if removed is None or not removed.any():
-        return len(raw), 0, 0, hashlib.sha256(raw).hexdigest()
+        return len(raw), 0, 0, earlier, hashlib.sha256(raw).hexdigest()
     edge = np.flatnonzero(np.diff(np.concatenate([[0], removed.astype(np.int8), [0]])))
     kept = np.frombuffer(raw, np.uint8)[~removed].tobytes()
-    return len(raw), int(removed.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest()
+    return len(raw), int(removed.sum()), len(edge) // 2, earlier, hashlib.sha256(kept).hexdigest()
 
 
-def _packed(entries: list[tuple[int, int, bytes]], several: np.ndarray) -> bytes:
+def _packed(entries: list[tuple[int, int, bytes]], least: np.ndarray) -> bytes:
     head = np.array([len(entries)], "<i8").tobytes()
     body = np.array([e[0] for e in entries], "<u8").tobytes() + np.array([(e[1], len(e[2])) for e in entries], "<u2").tobytes()
-    return exchange.squeezed(head + body + several.astype(np.uint8).tobytes() + b"".join(e[2] for e in entries))
+    return exchange.squeezed(head + body + least.astype("<i8").tobytes() + b"".join(e[2] for e in entries))
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Hashes, bytes before the anchor, least ranks and surroundings."""
     raw = exchange.unsqueezed(blob)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     keys = np.frombuffer(raw, "<u8", n, 8)
     pair = np.frombuffer(raw, "<u2", 2 * n, 8 + 8 * n).reshape(n, 2).astype(np.int64)
-    several = np.frombuffer(raw, np.uint8, n, 8 + 12 * n)
-    ends = 8 + 13 * n + np.cumsum(pair[:, 1])
-    return keys, pair[:, 0], several, [raw[e - s : e] for e, s in zip(ends.tolist(), pair[:, 1].tolist(), strict=True)]
+    least = np.frombuffer(raw, "<i8", n, 8 + 12 * n)
+    ends = 8 + 20 * n + np.cumsum(pair[:, 1])
+    return keys, pair[:, 0], least, [raw[e - s : e] for e, s in zip(ends.tolist(), pair[:, 1].tolist(), strict=True)]
 
 
-def _typed(out: list[tuple], schema: str) -> pa.Table:
-    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
-    fields = [f.split() for f in schema.split(", ")]
-    columns = zip(*out, strict=True) if out else [()] * len(fields)
-    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+def _distinct(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct digests, which of them each is, and how often each occurs."""
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    first = np.ones(len(order), bool)
+    first[1:] = (digests[order[1:]] != digests[order[:-1]]).any(1)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(first) - 1
+    return digests[order[first]], which, np.bincount(which, minlength=int(first.sum()))
 
 
 def _second(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """Finished texts, texts with repeated anchors, surroundings and hot strings."""
     out: list[tuple] = []
-    if not rows.num_rows:
-        return _typed(out, SENT)
-    batch = rows["batch"][0].as_py()
-    some: dict[int, bytes] = {}
-    if answers.num_rows:
-        texts = rows["text"].to_pylist()
-        long = [i for i, t in enumerate(texts) if t and len(t) >= LENGTH]
-        b = Batch([texts[i] for i in long])
-        keys, _ = b.distinct()
-        state = _states(keys, buckets, exchange.by_bucket(answers))
-        own = state[np.searchsorted(keys, b.keys)]
-        for i in np.unique(b.owner[own > 0]).tolist():
-            mine = b.owner == i
-            at = b.place[mine & (own > 0)].astype("<i8")
-            hot = (own[mine & (own > 0)] > 1).astype(np.uint8)
-            blob = len(at).to_bytes(8, "little") + at.tobytes() + hot.tobytes() + b.keys[mine & (own > 0)].astype("<u8").tobytes()
-            some[long[i]] = exchange.squeezed(blob + texts[long[i]])
-        _, entries, _, times = b.contexts(keys[state == 1])
-        where = _by_bucket(np.array([e[0] for e in entries], np.uint64), buckets)
-        for k in np.unique(where).tolist():
-            pick = np.flatnonzero(where == k)
-            out.append(("context", batch, k, _packed([entries[j] for j in pick], times[pick] > 1), None, None, None, None, None))
-        _, _, strings = b.strings(keys[state == 2])
-        distinct, counts = np.unique(strings, return_counts=True)
-        for k, mine in exchange.shares(distinct, buckets):
-            blob = distinct[mine].astype("<u8").tobytes() + np.minimum(counts[mine], 255).astype(np.uint8).tobytes()
-            out.append(("string", batch, k, blob, None, None, None, None, None))
-    for i, doc_id in enumerate(rows["doc_id"].to_pylist()):
-        if i in some:
-            out.append(("doc", batch, None, some[i], doc_id, None, None, None, None))
+    rest = (None,) * 6
+    for batch, blob in zip(rows["batch"].to_pylist(), rows["blob"], strict=True):
+        some: dict[int, bytes] = {}
+        if answers.num_rows:
+            long, ids, texts, b = _long(blob.as_py())
+            keys, _ = b.distinct()
+            state = _states(keys, buckets, exchange.by_bucket(answers))
+            own = state[np.searchsorted(keys, b.keys)]
+            for i in np.unique(b.owner[own > 0]).tolist():
+                mine = (b.owner == i) & (own > 0)
+                at, hot = b.place[mine].astype("<i8"), (own[mine] > 1).astype(np.uint8)
+                held = len(at).to_bytes(8, "little") + at.tobytes() + hot.tobytes() + b.keys[mine].astype("<u8").tobytes()
+                some[long[i]] = exchange.squeezed(held + texts[long[i]])
+            at, entries, which, _ = b.contexts(keys[state == 1])
+            least = b.least(b.owner[at], which, len(entries))
+            where = _by_bucket(np.array([e[0] for e in entries], np.uint64), buckets)
+            for k in np.unique(where).tolist():
+                pick = np.flatnonzero(where == k)
+                out.append(("context", batch, k, _packed([entries[j] for j in pick], least[pick]), *rest))
+            distinct, _, counts = _distinct(b.strings(keys[state == 2])[2])
+            for k, mine in exchange.shares(distinct[:, 0], buckets):
+                held = distinct[mine].astype("<u8").tobytes() + np.minimum(counts[mine], 255).astype(np.uint8).tobytes()
+                out.append(("string", batch, k, held, *rest))
+            owners, _, digests = b.strings(keys[state == 2], SPAN)
+            distinct, which, _ = _distinct(digests)
+            least = b.least(owners, which, len(distinct))
+            out += [("short", batch, k, held, *rest) for k, _, held in exchange.send_least(batch, distinct, least, buckets)]
         else:
-            out.append(("done", batch, None, None, doc_id, *_digest(rows["text"][i].as_py())))
-    return _typed(out, SENT)
+            ids, texts = exchange.unpack(blob.as_py())
+        for i, doc_id in enumerate(ids):
+            if i in some:
+                out.append(("doc", batch, None, some[i], doc_id, *rest[1:]))
+            else:
+                out.append(("done", batch, None, None, doc_id, *_digest(texts[i])))
+    return exchange.table(SENT, out)
 
 
 def _answer_second(rows: pa.Table) -> pa.Table:
@@ -442,6 +510,7 @@ def _answer_second(rows: pa.Table) -> pa.Table:
     if sent:
         keys = np.concatenate([x[0] for _, x in sent])
         lefts = np.concatenate([x[1] for _, x in sent])
+        ranks = np.concatenate([x[2] for _, x in sent])
         texts = [t for _, x in sent for t in x[3]]
         begin = np.cumsum([0, *(len(x[0]) for _, x in sent)])
         order = np.argsort(keys, kind="stable")
@@ -453,10 +522,10 @@ def _answer_second(rows: pa.Table) -> pa.Table:
                 held = 0
             held += len(texts[i])
         cuts.append(len(order))
-        found = []
+        found, least = [], ranks.copy()
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):
             own = order[a:z]
-            r = recurring([texts[i] for i in own], lefts[own], keys[own])
+            r, least[own] = recurring([texts[i] for i in own], lefts[own], keys[own], ranks[own])
             r[:, 0] = own[r[:, 0]]
             found.append(r)
         rows_ = np.concatenate(found)
@@ -466,24 +535,30 @@ def _answer_second(rows: pa.Table) -> pa.Table:
             part = rows_[at[k] : at[k + 1]] - [begin[k], 0, 0]
             if len(part):
                 out.append((source, bucket, "context", part.astype("<i4").tobytes()))
-    strings = [(s, np.frombuffer(x, "<u8", len(x) // 9), np.frombuffer(x, np.uint8, len(x) // 9, 8 * (len(x) // 9))) for k, s, x in zip(kinds, sources, blobs, strict=True) if k == "string"]
+            less = (least < ranks)[begin[k] : begin[k + 1]]
+            if less.any():
+                out.append((source, bucket, "earlier", np.packbits(less).tobytes()))
+    strings = [(s, np.frombuffer(x, "<u8", len(x) // 17 * 2).reshape(-1, 2), np.frombuffer(x, np.uint8, offset=len(x) // 17 * 16)) for k, s, x in zip(kinds, sources, blobs, strict=True) if k == "string"]
     if strings:
-        keys, counts = np.concatenate([x[1] for x in strings]), np.concatenate([x[2] for x in strings]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-        known, many = keys[order][first], np.add.reduceat(counts[order], first) > 1
+        known, which, _ = _distinct(np.concatenate([x[1] for x in strings]))
+        total = np.bincount(which, np.concatenate([x[2] for x in strings]), len(known))
+        at = 0
         for source, own, _ in strings:
-            yes = many[np.searchsorted(known, own)]
+            yes = total[which[at : at + len(own)]] > 1
+            at += len(own)
             if yes.any():
                 out.append((source, bucket, "string", np.packbits(yes).tobytes()))
-    return _typed(out, ANSWERS)
+    if "short" in kinds:
+        short = exchange.answer_least(rows.filter(pc.equal(rows["kind"], "short")).rename_columns(["kind", "batch", "bucket", "keys"]))
+        out += [(source, bucket, "short", found) for source, found in zip(short["batch"].to_pylist(), short["bits"].to_pylist(), strict=True)]
+    return exchange.table(ANSWERS, out)
 
 
 def _third(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """The texts with repeated anchors, judged."""
     out: list[tuple] = []
     if not rows.num_rows:
-        return _typed(out, RESULT)
+        return exchange.table(RESULT, out)
     raws, owner, place, hot, keys = [], [], [], [], []
     for i, blob in enumerate(rows["blob"].to_pylist()):
         blob = exchange.unsqueezed(blob)
@@ -493,10 +568,10 @@ def _third(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         keys.append(np.frombuffer(blob, "<u8", n, 8 + 9 * n))
         owner.append(np.full(n, i))
         raws.append(blob[8 + 17 * n :])
-    b = Batch([])
+    b = Batch([], np.array([LAST if i is None else i for i in rows["doc_id"].to_pylist()], np.int64))
     b.raws, b.owner, b.place, b.keys = raws, np.concatenate(owner), np.concatenate(place), np.concatenate(keys)
     hot = np.concatenate(hot) > 0
-    given: dict[str, dict[int, bytes]] = {"context": {}, "string": {}}
+    given: dict[str, dict[int, bytes]] = {"context": {}, "earlier": {}, "string": {}, "short": {}}
     for k, bucket, blob in zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True):
         given[k][bucket] = blob
     spans = []  # owner, first start, last start of recurring strings
@@ -521,39 +596,43 @@ def _third(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         spans.append(np.stack([b.owner[j], b.place[j] - r[k, 2], b.place[j] - r[k, 1]], 1))
     owners, starts, hashes = b.strings(np.unique(b.keys[hot]))
     if len(hashes):
-        distinct, inverse = np.unique(hashes, return_inverse=True)
-        yes = exchange.answered(distinct, buckets, given["string"])[inverse]
+        distinct, of, _ = _distinct(hashes)
+        yes = exchange.answered(distinct[:, 0], buckets, given["string"])[of]
         spans.append(np.stack([owners[yes], starts[yes], starts[yes]], 1))
     all_spans = np.concatenate(spans) if spans else np.zeros((0, 3), np.int64)
     all_spans = all_spans[np.argsort(all_spans[:, 0], kind="stable")]
     cuts = np.searchsorted(all_spans[:, 0], np.arange(len(raws) + 1))
+    earlier = np.zeros(len(raws), bool)
+    less = np.zeros(len(entries), bool)
+    for k, blob in given["earlier"].items():
+        mine = np.flatnonzero(where == k)
+        less[mine] = exchange.bits(blob, len(mine))
+    earlier[b.owner[at[less[which] | (b.least(b.owner[at], which, len(entries))[which] < b.ranks[b.owner[at]])]]] = True
+    owners, _, hashes = b.strings(np.unique(b.keys[hot]), SPAN)
+    distinct, of, _ = _distinct(hashes)
+    less = exchange.answered(distinct[:, 0], buckets, given["short"])
+    earlier[owners[less[of] | (b.least(owners, of, len(distinct))[of] < b.ranks[owners])]] = True
     for i, doc_id in enumerate(rows["doc_id"].to_pylist()):
         own = all_spans[cuts[i] : cuts[i + 1]]
         step = np.zeros(len(raws[i]) + 1, np.int64)
         np.add.at(step, own[:, 1], 1)
         np.add.at(step, own[:, 2] + LENGTH, -1)
-        out.append((doc_id, *_digest(raws[i], np.cumsum(step[:-1]) > 0)))
-    return _typed(out, RESULT)
+        out.append((doc_id, *_digest(raws[i], np.cumsum(step[:-1]) > 0, int(earlier[i]))))
+    return exchange.table(RESULT, out)
 
 
 def repeated_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
+    """``doc_id, n_bytes, n_removed, n_spans, repeats_earlier, kept_sha256`` of every row."""
     dealt = exchange.deal(docs)
     buckets = dealt.buckets
-    sent = dealt.docs.groupBy("batch").applyInArrow(lambda rows: _first(rows, buckets), exchange.KEYS)
-    answers = common.saved(sent.groupBy("bucket").applyInArrow(lambda rows: _answer_first(rows, hot), exchange.ANSWERS))
+    sent = dealt.docs.mapInArrow(lambda it: _first(it, buckets), exchange.KEYS)
+    answers = common.saved(dealt.by_bucket(sent).applyInArrow(lambda rows: _answer_first(rows, hot), exchange.ANSWERS))
     second = common.saved(
-        dealt.docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda rows, own: _second(rows, own, buckets), SENT)
-    )
-    recur = (
-        second.filter("kind IN ('context', 'string')").select("kind", "batch", "bucket", "blob").groupBy("bucket").applyInArrow(_answer_second, ANSWERS)
-    )
-    judged = (
-        second.filter("kind = 'doc'")
-        .select("batch", "doc_id", "blob")
-        .groupBy("batch")
-        .cogroup(recur.groupBy("batch"))
-        .applyInArrow(lambda rows, own: _third(rows, own, buckets), RESULT)
+        dealt.by_batch(dealt.docs).cogroup(dealt.by_batch(answers)).applyInArrow(lambda rows, own: _second(rows, own, buckets), SENT)
     )
-    done = second.filter("kind = 'done'").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    asked = second.filter("kind IN ('context', 'string', 'short')").select("kind", "batch", "bucket", "blob")
+    recur = dealt.by_bucket(asked).applyInArrow(_answer_second, ANSWERS)
+    held = second.filter("kind = 'doc'").select("batch", "doc_id", "blob")
+    judged = dealt.by_batch(held).cogroup(dealt.by_batch(recur)).applyInArrow(lambda rows, own: _third(rows, own, buckets), RESULT)
+    done = second.filter("kind = 'done'").select("doc_id", "n_bytes", "n_removed", "n_spans", "repeats_earlier", "kept_sha256")
     return done.unionByName(judged)

@@ -204,8 +204,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score below 0.5, all columns as they were."""
     held = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, labels)))
-    common.small_batches(docs.sparkSession)
-
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
         return pa.array(held.value.score(text.to_pylist()))

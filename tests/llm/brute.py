@@ -73,17 +73,23 @@ def near_components(docs, radius=2):
     return [(d, f"{f:016x}", find(d)) for d, f in prints]
 
 
-def repeated_bytes(docs, n=400):
+def repeated_bytes(docs, n=400, shorter=300):
     raws = [(d, (t or "").encode()) for d, t in docs]
     seen = Counter(r[s : s + n] for _, r in raws for s in range(len(r) - n + 1))
+    least = {}
+    for d, r in raws:
+        for s in range(len(r) - shorter + 1):
+            g = r[s : s + shorter]
+            least[g] = min(least.get(g, math.inf), math.inf if d is None else d)
     out = []
     for d, r in raws:
+        earlier = any(least[r[s : s + shorter]] < (math.inf if d is None else d) for s in range(len(r) - shorter + 1))
         gone = [False] * len(r)
         for s in range(len(r) - n + 1):
             if seen[r[s : s + n]] > 1:
                 gone[s : s + n] = [True] * n
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
-        out.append((d, len(r), sum(gone), spans, sha(bytes(c for c, g in zip(r, gone, strict=True) if not g))))
+        out.append((d, len(r), sum(gone), spans, int(earlier), sha(bytes(c for c, g in zip(r, gone, strict=True) if not g))))
     return out
 
 

@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from scriptorium.llm import decontam, exchange, simhash, substring, suffix
+from scriptorium.llm import common, decontam, exchange, simhash, substring, suffix
 
 from . import brute
 
@@ -57,6 +58,88 @@ def test_dedup_of_real_texts(spark, sf_dir):
 def test_many_batches_agree_with_one(docs, monkeypatch):
     monkeypatch.setattr(exchange, "BATCH_BYTES", 2000)
     same(substring.repeated_words(docs(corpus())), brute.repeated_words(corpus()))
+    same(suffix.repeated_bytes(docs(corpus()), 3), brute.repeated_bytes(corpus()))
+
+
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_strings_whose_polynomials_agree_stay_apart(docs):
+    """A Thue-Morse string and its complement have one hash under every odd base modulo 2**64."""
+    one, two = "".join(thue_morse(2048, "a", "b")), "".join(thue_morse(2048, "b", "a"))
+    head = prose(1, 49, 10**6)
+    rows = [(1, f"{head} {one}"), (2, f"{head} {two}"), (3, " ".join(thue_morse(2048, "on", "off"))), (4, " ".join(thue_morse(2048, "off", "on"))), (5, one), (6, two)]
+    same(substring.repeated_words(docs(rows)), brute.repeated_words(rows))
+    same(suffix.repeated_bytes(docs(rows)), brute.repeated_bytes(rows))
+    same(suffix.repeated_bytes(docs(rows), 0), brute.repeated_bytes(rows))
+
+
+class Plain:
+    """The stages of an operator in this process, so that its hashes can be replaced."""
+
+    def __init__(self, rows, width):
+        batches = [rows[i : i + width] for i in range(0, len(rows), width)]
+        self.blobs = [(k, exchange.pack([i for i, _ in b], [t.encode() for _, t in b])) for k, b in enumerate(batches)]
+
+    def first(self, stage, *more):
+        held = pa.RecordBatch.from_arrays([pa.array([k for k, _ in self.blobs]), pa.array([0] * len(self.blobs)), pa.array([x for _, x in self.blobs])], names=["batch", "n_bytes", "blob"])
+        return [r for t in stage(iter([held]), *more) for r in t.to_pylist()]
+
+    def each(self, rows, key, stage, schema, *more):
+        out, empty = [], exchange.table(schema, [])
+        for k in sorted({r[key] for r in rows}):
+            out += stage(pa.Table.from_pylist([r for r in rows if r[key] == k], empty.schema), *more).to_pylist()
+        return out
+
+    def both(self, rows, answers, stage, schema, other, buckets):
+        out = []
+        for k in sorted({r["batch"] for r in rows}):
+            own = [r for r in rows if r["batch"] == k], [r for r in answers if r["batch"] == k]
+            tables = [pa.Table.from_pylist(v, exchange.table(x, []).schema) for v, x in zip(own, (schema, other), strict=True)]
+            out += stage(*tables, buckets).to_pylist()
+        return out
+
+
+def few(h):
+    return h % np.uint64(3) << np.uint64(40)
+
+
+def test_equal_hashes_of_unequal_words(monkeypatch):
+    monkeypatch.setattr(substring.common, "runs", lambda h, n, runs=substring.common.runs: few(runs(h, n)))
+    rows = [(i, t) for i, t in corpus() if i is not None and t]
+    p = Plain(rows, 7)
+    answers = p.each(p.first(substring._first, 2), "bucket", exchange.answer_repeats, exchange.KEYS)
+    dealt = [{"batch": k, "n_bytes": 0, "blob": x} for k, x in p.blobs]
+    second = p.both(dealt, answers, substring._second, exchange.DEALT, exchange.ANSWERS, 2)
+    keys = [{"bucket": r["bucket"], "batch": r["batch"], "keys": r["blob"]} for r in second if r["kind"] == "keys"]
+    less = p.each(keys, "bucket", exchange.answer_least, exchange.KEYS)
+    judged = p.both([r for r in second if r["kind"] == "doc"], less, substring._third, substring.SECOND, exchange.ANSWERS, 2)
+    found = [tuple(r[c] for c in ("doc_id", "n_words", "n_removed", "kept_sha256")) for r in [*judged, *(r for r in second if r["kind"] == "done")]]
+    assert sorted(found) == sorted(brute.repeated_words(rows))
+
+
+@pytest.mark.parametrize("hot", [256, 3])
+def test_equal_hashes_of_unequal_strings(monkeypatch, hot):
+    monkeypatch.setattr(suffix, "string_hashes", lambda data, n, own=suffix.string_hashes: own(data, n) % np.uint64(61) << np.uint64(32))
+    rows = [(i, t) for i, t in corpus() if i is not None and t]
+    p = Plain(rows, 7)
+    answers = p.each(p.first(suffix._first, 2), "bucket", suffix._answer_first, exchange.KEYS, hot)
+    dealt = [{"batch": k, "n_bytes": 0, "blob": x} for k, x in p.blobs]
+    second = p.both(dealt, answers, suffix._second, exchange.DEALT, exchange.ANSWERS, 2)
+    asked = [{k: r[k] for k in ("kind", "batch", "bucket", "blob")} for r in second if r["kind"] not in ("doc", "done")]
+    recur = p.each(asked, "bucket", suffix._answer_second, "kind string, batch bigint, bucket int, blob binary")
+    judged = p.both([r for r in second if r["kind"] == "doc"], recur, suffix._third, suffix.SENT, suffix.ANSWERS, 2)
+    found = [tuple(r[f.split()[0]] for f in suffix.RESULT.split(", ")) for r in [*judged, *(r for r in second if r["kind"] == "done")]]
+    assert sorted(found) == sorted(brute.repeated_bytes(rows))
+
+
+def test_batches_follow_the_texts_and_not_the_plan(spark, docs):
+    """A join makes the plan's estimate explode; the texts are as many as before."""
+    other = spark.range(5000).withColumnRenamed("id", "other")
+    big = docs(corpus()).crossJoin(other.filter("other = 1")).drop("other")
+    a, b = exchange.deal(docs(corpus())), exchange.deal(big)
+    assert (a.buckets, a.tasks) == (b.buckets, b.tasks)
 
 
 @pytest.mark.parametrize("operator", [substring.repeated_words, suffix.repeated_bytes, simhash.components, simhash.one_of_each])
@@ -95,7 +178,7 @@ def test_xxh64_matches_the_library():
     r = random.Random(2)
     texts = [bytes(r.randrange(256) for _ in range(n)) for n in [*range(100), 400]]
     sizes = np.array([len(t) for t in texts])
-    h = simhash.xxh64(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    h = common.xxh64(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes, simhash.SEED)
     assert h.tolist() == [xxhash.xxh64_intdigest(t, 42) for t in texts]
 
 
