@@ -23,7 +23,7 @@ import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +56,13 @@ class WordBpe:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
+        self.path = path
+        self.fast = tiktoken.Encoding("word-bpe", pat_str="[^ ]+ ", mergeable_ranks=self._ranks(), special_tokens={})
+
+    def _ranks(self) -> dict[bytes, int]:
+        """The vocabulary as bytes, a word's end as a space."""
+        with open(self.path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
@@ -66,12 +70,17 @@ class WordBpe:
         ranks = {}
         for token, i in vocab.items():
             ends = token.endswith("</w>") and token != "</w>"
-            body = bytes(to_byte[c] for c in (token[:-4] if ends else token))
-            ranks[body + b" " * ends] = i
-        self.full = Tokenizer.from_file(path)
-        self.fast = tiktoken.Encoding(
-            "word-bpe", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}
-        )
+            ranks[bytes(to_byte[c] for c in (token[:-4] if ends else token)) + b" " * ends] = i
+        return ranks
+
+    @cached_property
+    def full(self):
+        """The vocabulary's own tokenizer, read when a text first needs it; its cache of words is bounded."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.model._resize_cache(1 << 12)
+        return out
 
     def __call__(self, text: str) -> np.ndarray:
         """The text's ids as little-endian unsigned 32-bit numbers."""
