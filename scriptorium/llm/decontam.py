@@ -5,13 +5,16 @@ one window). Of every 5 consecutive 9-word hashes the smallest is kept, on both
 sides: 13 shared words hold 5 such hashes, so the same one is kept in the
 document and in the item, wherever the span lies. Document fingerprints are
 joined with the benchmark's, and each meeting is extended word by word in both
-directions; a run of 13 words or more is hit. Items of fewer than 13 words are
-found by the hash of all their words, at every place of a document.
+directions as far as a window can reach from it; a run of 13 words or more is
+hit. Places of the benchmark with the same words around them are one place with
+several items, so a text that repeats itself meets each kind of place once, and
+the work is in proportion to the document. Items of fewer than 13 words are found
+by the hash of all their words, at every place of a document.
 
-The benchmark is read in blocks of at most ``BLOCK_WORDS`` words (a longer item
-is a block of its own); each block's index is broadcast, and documents pass
-block after block without a shuffle. Nothing about documents reaches the
-driver.
+The join is a hash join whose benchmark side is broadcast, in blocks of about
+``BLOCK_WORDS`` words (a longer item is cut into parts that overlap by a window
+less one word); documents pass block after block without a shuffle. Nothing about
+documents reaches the driver.
 
 Defined cases: null and empty texts have no words and are not contaminated;
 items without words occur nowhere; repeated item_ids count once; null item_ids
@@ -57,21 +60,26 @@ class Index:
         self.ids = [i for i, _ in items]
         w = common.Words([t for _, t in items], common.WORD_BYTES)
         hashes = w.hashes()
-        self.words: list[list[bytes]] = []
-        places = defaultdict(set)
+        around = window - gram
+        #: By hash: the words around a fingerprint, its place among them, and the items that have them.
+        self.places: dict[int, list[tuple[list[bytes], int, list[int]]]] = {}
+        found = defaultdict(lambda: defaultdict(set))
+        self.words: dict[int, list[bytes]] = {}
         self.short = defaultdict(lambda: defaultdict(set))
         for k, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
-            self.words.append([w.word(i) for i in range(a, b)])
             if b - a >= window:
+                words = [w.word(i) for i in range(a, b)]
                 grams = common.runs(hashes[a:b], gram)
-                kept = set(winnowed(grams, self.width).tolist())
-                for at, h in enumerate(grams.tolist()):
-                    if h in kept:
-                        places[h].add((k, at))
+                kept = np.flatnonzero(np.isin(grams, winnowed(grams, self.width)))
+                for at, h in zip(kept.tolist(), grams[kept].tolist(), strict=True):
+                    low = max(0, at - around)
+                    found[h][(at - low, *words[low : at + gram + around])].add(k)
             elif b > a:
+                self.words[k] = [w.word(i) for i in range(a, b)]
                 self.short[b - a][int(common.runs(hashes[a:b], b - a)[0])].add(k)
+        for h, kinds in found.items():
+            self.places[h] = [(list(x[1:]), x[0], sorted(v)) for x, v in kinds.items()]
         self.short = {n: {h: sorted(v) for h, v in x.items()} for n, x in self.short.items()}
-        self.places = {h: sorted(v) for h, v in places.items()}
         self.mask = self._mask(self.places)
         self.short_mask = {n: self._mask(x) for n, x in self.short.items()}
 
@@ -97,10 +105,14 @@ class Index:
             ok = owner[: len(least)] == owner[self.window - 1 :]
             at = np.flatnonzero(ok & self.mask[(least >> np.uint64(64 - MASK_BITS)).astype(np.int64)])
             near = at[:, None] + np.arange(self.width)
-            done: dict[tuple[int, int, int], int] = {}
+            doc, own = -1, []
             for g in np.unique(near[grams[near] == least[at][:, None]]).tolist():
-                for item, p in self.places.get(int(grams[g]), ()):
-                    self._extend(w, int(owner[g]), g, item, p, done, found)
+                for words, p, items in self.places.get(int(grams[g]), ()):
+                    if owner[g] != doc:
+                        doc = int(owner[g])
+                        low = int(first[doc])
+                        own = [w.word(i) for i in range(low, int(first[doc + 1]))]
+                    self._extend(own, g - low, words, p, items, doc, found)
         for n, wanted in self.short.items():
             if len(w) < n:
                 continue
@@ -110,30 +122,27 @@ class Index:
             for j in at.tolist():
                 for item in wanted.get(int(grams[j]), ()):
                     if [w.word(i) for i in range(j, j + n)] == self.words[item]:
-                        self._note(found, w, int(owner[j]), j, j + n, item)
+                        low = int(first[owner[j]])
+                        self._note(found, int(owner[j]), j - low, j + n - low, [item])
         return counts, found
 
-    def _extend(self, w, doc, g, item, p, done, found) -> None:
-        low, high = int(w.first[doc]), int(w.first[doc + 1])
-        if done.get((doc, item, g - p), -1) > g:
-            return  # inside a run on the same diagonal
-        words = self.words[item]
-        if any(w.word(g + i) != words[p + i] for i in range(self.gram)):
+    def _extend(self, own: list[bytes], g: int, words: list[bytes], p: int, items: list[int], doc: int, found) -> None:
+        """Extends equal grams at place ``g`` of a text and place ``p`` of ``words``."""
+        if own[g : g + self.gram] != words[p : p + self.gram]:
             return
         a, b = g, g + self.gram
-        while a > low and p - (g - a) > 0 and w.word(a - 1) == words[p - (g - a) - 1]:
+        while a > 0 and p - (g - a) > 0 and own[a - 1] == words[p - (g - a) - 1]:
             a -= 1
-        while b < high and p + (b - g) < len(words) and w.word(b) == words[p + (b - g)]:
+        while b < len(own) and p + (b - g) < len(words) and own[b] == words[p + (b - g)]:
             b += 1
-        done[(doc, item, g - p)] = b
         if b - a >= self.window:
-            self._note(found, w, doc, a, b, item)
+            self._note(found, doc, a, b, items)
 
-    def _note(self, found, w, doc, a, b, item) -> None:
-        spans, items = found.setdefault(doc, ([], set()))
-        low = int(w.first[doc])
-        spans.append((a - low, b - low))
-        items.add(self.ids[item])
+    def _note(self, found, doc: int, a: int, b: int, items: list[int]) -> None:
+        spans, names = found.setdefault(doc, ([], set()))
+        if not spans or spans[-1] != (a, b):
+            spans.append((a, b))
+        names.update(self.ids[i] for i in items)
 
 
 def covered(spans: np.ndarray) -> int:
@@ -189,23 +198,38 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[Index]:
     ).filter(F.octet_length("text") > 0)
     held, size = [], 0
     for r in rows.toLocalIterator():
-        held.append((r["item_id"], bytes(r["text"])))
-        size += len(r["text"])
-        if size >= 2 * most:
-            yield Index(held)
-            held, size = [], 0
+        for part in _parts(bytes(r["text"]), most):
+            held.append((r["item_id"], part))
+            size += len(part)
+            if size >= 2 * most:
+                yield Index(held)
+                held, size = [], 0
     if held:
         yield Index(held)
 
 
+def _parts(text: bytes, most: int) -> Iterator[bytes]:
+    """An item as it is, or in parts that hold every window of it, if it alone fills a block."""
+    if len(text) <= 2 * most or len(words := text.translate(common.WORD_BYTES).split()) <= max(most, WINDOW):
+        yield text
+        return
+    step = max(most, WINDOW)
+    for at in range(0, len(words) - WINDOW + 1, step):
+        yield b" ".join(words[at : at + step + WINDOW - 1])
+
+
 def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     schema = "doc_id bigint, text binary, n_words bigint, spans binary, items array<string>"
     out = common.texts(docs).selectExpr("doc_id", "text", "0L AS n_words", "CAST(NULL AS binary) AS spans", "CAST(NULL AS array<string>) AS items")
+    used = []
     for k, index in enumerate([Index([])] if benchmark.isEmpty() else blocks(benchmark)):
         held = spark.sparkContext.broadcast(index)
         if k and k % 8 == 0:
             out = common.saved(out)
+            while used:
+                used.pop().unpersist()
+        used.append(held)
         out = out.mapInArrow(lambda it, held=held: _pass(it, held), schema)
     return out
 
@@ -224,15 +248,17 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     collects that block's spans beside the row, and the last one decides.
     """
     spark = docs.sparkSession
-    indexes = [] if benchmark.isEmpty() else blocks(benchmark)
-    columns = docs.columns
-    out = docs.withColumn("__spans", F.lit(None).cast("binary"))
-    for k, index in enumerate(indexes):
+    columns, (spans,) = docs.columns, common.unused(docs.columns, "spans")
+    out, used = docs.withColumn(spans, F.lit(None).cast("binary")), []
+    for k, index in enumerate([] if benchmark.isEmpty() else blocks(benchmark)):
         held = spark.sparkContext.broadcast(index)
         if k and k % 8 == 0:
             out = common.saved(out)
-        out = out.withColumn("__spans", _more_spans(held)(F.col("text").cast("binary"), F.col("__spans")))
-    return out.filter(~_bad(F.col("text").cast("binary"), F.col("__spans"))).select(*[F.col(f"`{c}`") for c in columns])
+            while used:
+                used.pop().unpersist()
+        used.append(held)
+        out = out.withColumn(spans, _more_spans(held)(F.col("text").cast("binary"), F.col(spans)))
+    return out.filter(~_bad(F.col("text").cast("binary"), F.col(spans))).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def _more_spans(held):

@@ -6,8 +6,6 @@ against plain versions in tests/llm.
 
 from __future__ import annotations
 
-import math
-
 from scriptorium.llm import licenses
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -80,14 +78,14 @@ def _templates() -> str:
     rows = []
     for label, text in licenses.TEMPLATES:
         words = sorted(set(text.split()))
-        rows.append(f"('{label}', {_list(words)}, {max(1, math.ceil(licenses.THRESHOLD * len(words) - 1e-9))})")
+        rows.append(f"('{label}', {_list(words)}, {licenses.needed(len(words), licenses.THRESHOLD)}, {licenses.stride(text)})")
     return ", ".join(rows)
 
 
 OP10 = f"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS ({_places()}), t(label, words, need) AS (VALUES {_templates()}),
-b AS (SELECT doc_id, list_distinct(w[s + 1:s + {licenses.BLOCK}]) AS block FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w), 1), {licenses.STRIDE})) AS s FROM d)),
-m AS (SELECT doc_id, label, len(list_intersect(block, words)) / len(words) AS containment FROM b, t WHERE len(list_intersect(block, words)) >= need),
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS ({_places()}), t(label, words, need, step) AS (VALUES {_templates()}),
+b AS (SELECT doc_id, step, list_distinct(w[s + 1:s + 2 * step]) AS block FROM (SELECT doc_id, w, step, unnest(range(0, greatest(len(w), 1), step)) AS s FROM d, (SELECT DISTINCT step FROM t))),
+m AS (SELECT doc_id, label, len(list_intersect(block, words)) / len(words) AS containment FROM b JOIN t USING (step) WHERE len(list_intersect(block, words)) >= need),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY 1),
 labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM m) GROUP BY 1),
 best AS (SELECT doc_id, max(containment) AS score FROM m GROUP BY 1)

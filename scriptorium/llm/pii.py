@@ -8,6 +8,11 @@ of two, with cycle walking, permutes it. The same value under the same key gives
 the same pseudonym in every document, so records stay linked, and the key
 reverses it. Separators, letter case and lengths stay.
 
+The key is an argument or the setting ``spark.scriptorium.pii.key`` of the
+session. Where neither is given, an application draws a random key of its own:
+its pseudonyms are linked with each other and can't be reversed afterwards. No
+key stands in the source.
+
 Kinds: e-mail addresses (the letters and digits before the @), bank account
 numbers (IBAN, check digits right), payment cards (13 to 19 digits, check digit
 right), telephone numbers with a country prefix, social security numbers, IPv4
@@ -23,22 +28,34 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
+import secrets
+from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 from datetime import date
-from functools import lru_cache
+from functools import cache, lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import common
 
-KEY = b"scriptorium"
 ROUNDS = 8
 KINDS = ("email", "iban", "card", "phone", "ssn", "ipv4", "date", "secret")
 
 
+@cache
+def _drawn() -> bytes:
+    return secrets.token_bytes(32)
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key, or the application's random one; at most 64 bytes count."""
+    own = spark.conf.get("spark.scriptorium.pii.key", None)
+    return blake2b(own.encode()).digest() if own else _drawn()
+
+
 @lru_cache(maxsize=1 << 14)
 def permuted(x: int, n: int, key: bytes, kind: str, back: bool = False) -> int:
     """The keyed permutation of ``0 .. n-1`` at ``x``, or its inverse."""
@@ -233,7 +250,7 @@ def _phone(value: bytes, key: bytes, back: bool) -> tuple[str, bytes] | None:
 _DIGIT = re.compile(rb"[0-9]")
 
 
-def pseudonyms(raw: bytes | None, key: bytes = KEY, back: bool = False) -> tuple[bytes | None, dict[str, int]]:
+def pseudonyms(raw: bytes | None, key: bytes, back: bool = False) -> tuple[bytes | None, dict[str, int]]:
     """The text with its personal data replaced, and how many of each kind."""
     counts: dict[str, int] = {}
     if not raw or not (b"@" in raw or b"=" in raw or b":" in raw or _DIGIT.search(raw)):
@@ -245,15 +262,16 @@ def pseudonyms(raw: bytes | None, key: bytes = KEY, back: bool = False) -> tuple
             continue
         for m in finder.finditer(raw):
             a, b = m.span("value")
-            if any(a < y and x < b for x, y, _ in taken):
+            at = bisect_right(taken, (a, b))  # taken spans are disjoint: only the next ones could overlap
+            if at and taken[at - 1][1] > a or at < len(taken) and taken[at][0] < b:
                 continue
             if out := change(m["value"], key, back):
-                taken.append((a, b, out[1]))
+                insort(taken, (a, b, out[1]))
                 counts[out[0]] = counts.get(out[0], 0) + 1
     if not taken:
         return raw, counts
     parts, at = [], 0
-    for a, b, new in sorted(taken):
+    for a, b, new in taken:
         parts += [raw[at:a], new]
         at = b
     return b"".join([*parts, raw[at:]]), counts
@@ -274,17 +292,20 @@ def _replace(batches: Iterator[pa.RecordBatch], key: bytes):
             )
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """``doc_id, text, n_found, kinds`` of every row."""
+    key = key or key_of(docs.sparkSession)
     out = common.texts(docs).mapInArrow(lambda it: _replace(it, key), "doc_id bigint, text binary, n_found bigint, kinds string")
     return out.withColumn("text", F.col("text").cast("string"))
 
 
-def replace_text(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replace_text(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """``docs`` with its ``text`` replaced, all other columns as they were.
 
     An integer column ``n_chars`` follows the new text.
     """
+    key = key or key_of(docs.sparkSession)
+
     @F.arrow_udf("binary")
     def replaced(text: pa.Array) -> pa.Array:
         return pa.array([pseudonyms(raw, key)[0] for raw in text.to_pylist()], pa.binary())

@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm import common, graph
+from scriptorium.llm import common
+from scriptorium.operators import graph
 
 SHINGLE = 3
 SEED = 42
@@ -248,20 +249,22 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     classes = common.saved(prints.groupBy("f").agg(F.min("doc_id").alias("least")))
     linked = graph.components(links(classes.select("f"), radius), "src", "dst")
     named = classes.join(linked.withColumnRenamed("node", "f"), "f", "left").withColumn("component", F.coalesce("component", "f"))
+    own, print_, other, number = common.unused(docs.columns, "own", "print", "other", "number")
     # Fingerprints are ordered as they are written, that is, unsigned.
     first = F.min(F.struct("least", F.lpad(F.lower(F.hex("f")), 16, "0").alias("print"), "f"))
-    keep = common.saved(named.groupBy("component").agg(first.alias("first")).select(F.col("first.least").alias("__id"), F.col("first.f").alias("__f")))
-    kept = docs.join(keep.select("__id").distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
-    shared = common.saved(prints.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id")))
-    single = kept.join(shared, F.col("doc_id") == F.col("__id"), "left_anti")
+    keep = common.saved(named.groupBy("component").agg(first.alias("first")).select(F.col("first.least").alias(own), F.col("first.f").alias(other)))
+    here = F.col("doc_id") == F.col(own)
+    kept = docs.join(keep.select(own).distinct(), here, "left_semi")
+    shared = common.saved(prints.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(own)))
+    single = kept.join(shared, here, "left_anti")
 
     # Only rows of a shared doc_id have to be told apart, by their fingerprints.
     @F.arrow_udf("bigint")
     def printed(text: pa.Array) -> pa.Array:
         return pa.array(fingerprints(text.to_pylist()).view(np.int64))
 
-    told = kept.join(shared, F.col("doc_id") == F.col("__id"), "left_semi").withColumn("__f", printed(F.col("text").cast("binary")))
-    told = told.join(keep.withColumnRenamed("__f", "__g"), (F.col("doc_id") == F.col("__id")) & (F.col("__f") == F.col("__g")), "left_semi")
-    order = Window.partitionBy("doc_id", "__f").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    told = told.withColumn("__n", F.row_number().over(order)).filter("__n = 1").select(*docs.columns)
+    told = kept.join(shared, here, "left_semi").withColumn(print_, printed(F.col("text").cast("binary")))
+    told = told.join(keep, here & (F.col(print_) == F.col(other)), "left_semi")
+    order = Window.partitionBy("doc_id", print_).orderBy("text", *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    told = told.withColumn(number, F.row_number().over(order)).filter(F.col(number) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
     return single.unionByName(told).unionByName(docs.filter("doc_id IS NULL"))

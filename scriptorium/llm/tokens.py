@@ -5,9 +5,13 @@ of a task's rows are inserted in a trie. A node is a prefix; its forward score,
 the best sum of piece scores over segmentations of the prefix, depends on the
 prefix alone, so it is computed once for all pre-tokens that share it. The node
 where a pre-token ends stores its token count, and a document's count is a sum
-of stored counts. Scores are those of the vocabulary file. Characters without a
-piece cost the byte pieces of their UTF-8 form. Among best segmentations the
-one of fewest tokens counts.
+of stored counts. Characters without a piece cost the byte pieces of their UTF-8
+form. Among best segmentations the one of fewest tokens counts.
+
+Scores are those of the vocabulary file, and the count is that of the best
+segmentation under their sum. That is the count of a unigram model's own encoder
+where the file holds log-probabilities. A file made by merges holds ranks in
+their place; its encoder merges pair by pair and need not find the best sum.
 
 The trie belongs to the worker process and is started anew when it holds
 ``NODES`` nodes, the stored counts when they are ``COUNTS``; this bounds memory
@@ -15,7 +19,9 @@ and changes no count. There is no shuffle.
 
 Defined cases: null and empty texts, and texts of white space, have no tokens;
 rows with the same doc_id are counted each; a pre-token over ``LONG`` characters
-is scored on its own, without trie nodes; an empty table gives an empty result.
+shares no prefix and is scored on its own, without trie nodes, holding only as
+many forward scores as the longest piece has characters; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -45,6 +51,7 @@ class Pieces:
             if len(piece) > 1:
                 found.setdefault(piece[-2:], set()).add(len(piece))
         self.lengths = {end: tuple(sorted(n)) for end, n in found.items()}
+        self.longest = max(map(len, scores), default=1)
         self.worst = min([*byte_scores.values(), *scores.values(), 0.0]) - 1
 
     def char(self, c: str) -> tuple[float, int]:
@@ -108,9 +115,7 @@ class Trie:
         marked = MARK + word
         path = [(0.0, 0)]
         if len(marked) > LONG:
-            for i in range(1, len(marked) + 1):
-                path.append(self._forward(marked, i, path))
-            return -path[-1][1]
+            return self._alone(marked)
         if len(self.best) >= self.nodes:
             self.clear()
         node = 0
@@ -126,6 +131,18 @@ class Trie:
         count = self.terminal[word] = -self.best[node][1]
         return count
 
+    def _alone(self, word: str) -> int:
+        """The token count of a long pre-token, from the last forward scores only."""
+        keep, done, path, base = self.pieces.longest + 1, 0, [(0.0, 0)], 0
+        while done < len(word):  # a run of characters at a time, with what its pieces can reach back to
+            part = word[base : done + 4 * keep]
+            for i in range(done - base + 1, len(part) + 1):
+                path.append(self._forward(part, i, path))
+            done = base + len(part)
+            cut = max(0, len(path) - keep)
+            path, base = path[cut:], base + cut
+        return -path[-1][1]
+
     def count(self, words: list[str]) -> int:
         """Tokens of a text's pre-tokens, repeats included."""
         stored = self.terminal

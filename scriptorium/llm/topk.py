@@ -1,18 +1,23 @@
 """Exact top-k search by inner product with dual cover trees.
 
-Rows are dealt to splits, queries to blocks, both of bounded size; each pair of
-split and block is one task. There the split's vectors and the block's queries
-each get a cover tree: a node holds points within its covering radius of its
-centre, and its children are centres more than half that radius apart that cover
-them. For a query node with centre q and radius s and a candidate node with
-centre c and radius r no inner product can exceed
+Rows are dealt to splits, queries to blocks, both of bounded size, and each gets
+one cover tree, which is stored; every pair of a split's and a block's tree is
+one task's row. A node holds points within its covering radius of its centre,
+which is one of them; its children are centres more than half that radius apart
+that cover them. For a query node with centre q, radius s and longest vector
+length m and a candidate node with centre c, radius r and longest vector length
+l, no inner product exceeds the least of
 
-    q.c + |q| r + |c| s + s r .
+    q.c + |q| r + |c| s + s r,    (m m + l l - max(0, |q - c| - r - s) ** 2) / 2.
 
-Node pairs below the worst kth score of the query group are pruned; the rest are
-opened best first, and leaves are compared exactly. The k best of every split
-merge by query. Equal vectors of a split are one point with their k + 1 smallest
-distinct ids, which is all that any query can need of them.
+Each query leaf first meets the candidate leaf of the nearest centre, which gives
+worst kth scores to begin with. Then both trees are descended together: at every
+level the node pairs of a query group whose bound is below its worst kth score
+go, and the rest are opened. Leaves that stay are compared exactly, best bound
+first, many at a time by one matrix product.
+
+Of equal vectors of a split the k + 1 smallest distinct ids count, which is all
+that any query can need of them.
 
 Components are whole numbers, floor(256 x). Scores are exact: floating-point
 products serve only where every sum is below 2**53, Python integers elsewhere.
@@ -25,167 +30,253 @@ once; fewer candidates than k give all; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
+import pickle
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.llm import common
+
 SCALE = 256
 K = 5
 EVERY = 50
-#: Rows of a split and queries of a block, about, and points of a leaf at most.
-SPLIT, BLOCK, LEAF = 16384, 16384, 64
+#: Rows of a split and queries of a block, about, and children of a node at most.
+SPLIT, BLOCK, FAN = 4096, 4096, 16
+#: Points of a leaf at most: of candidates, and of queries, which share their bounds.
+LEAF, FEW = 64, 16
+#: Points that a leaf of queries meets at a time.
+TILE = 4096
 #: Room for rounding in float bounds, as a share of their size.
 SLACK = 1e-9
+LEAST = np.iinfo(np.int64).min
+
 
+@dataclass
+class Tree:
+    """A cover tree. Points lie so that a node's are ``begin`` to ``end``; a
+    node's children are the nodes ``child`` to ``child + children``."""
 
-class Node:
-    """A cover-tree node over the points ``at`` (numbers into the tree)."""
+    points: np.ndarray
+    ids: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    centre: np.ndarray
+    radius: np.ndarray
+    longest: np.ndarray
+    child: np.ndarray
+    children: np.ndarray
 
-    __slots__ = ("at", "centre", "norm", "radius", "children")
+    def __post_init__(self):
+        own = self.points[self.centre].astype(float)
+        self.centres, self.square = own, (own * own).sum(1)
+        self.norm = np.sqrt(self.square)
 
-    def __init__(self, points: np.ndarray, at: np.ndarray, centre: int):
-        self.at = at
-        self.centre = points[centre]
-        self.norm = float(np.sqrt((self.centre**2).sum()))
-        self.radius = float(np.sqrt(((points[at] - self.centre) ** 2).sum(1).max())) if len(at) > 1 else 0.0
-        self.children: list[Node] = []
+    @property
+    def leaves(self) -> np.ndarray:
+        return np.flatnonzero(self.children == 0)
 
 
-def cover_tree(points: np.ndarray) -> Node:
+def cover_tree(points: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> Tree:
     """The tree over all points, by repeated covers with halved radii."""
-    root = Node(points, np.arange(len(points)), 0)
-    open_ = [(root, root.radius)]
-    while open_:
-        node, scale = open_.pop()
-        if len(node.at) <= LEAF or node.radius == 0:
-            continue
-        scale = min(scale, node.radius) / 2
-        own = points[node.at]
-        nearest = ((own - node.centre) ** 2).sum(1)
-        best = np.zeros(len(own), np.int64)
-        centres = [int(np.argmin(nearest))]
-        # Farthest points first: centres end up more than `scale` apart, and all
-        # points within `scale` of one.
-        while len(centres) <= 1 + len(own) // 8 and nearest.max() > scale * scale:
-            c = int(np.argmax(nearest))
-            d = ((own - own[c]) ** 2).sum(1)
-            nearer = d < nearest
-            best[nearer], nearest[nearer] = len(centres), d[nearer]
-            centres.append(c)
-        if len(centres) == 1:
-            open_.append((node, scale))
-            continue
-        for k, c in enumerate(centres):
-            mine = np.flatnonzero(best == k)
-            if len(mine):
-                child = Node(points, node.at[mine], int(node.at[c]))
-                node.children.append(child)
-                open_.append((child, scale))
-    return root
-
-
-def _bounds(q: Node, nodes: list[Node]) -> np.ndarray:
-    centres = np.stack([n.centre for n in nodes])
-    norms, radii = np.array([n.norm for n in nodes]), np.array([n.radius for n in nodes])
-    out = centres @ q.centre + q.norm * radii + norms * q.radius + q.radius * radii
-    return out + SLACK * (1 + np.abs(out) + q.norm * norms)
+    x = points.astype(float)
+    length = np.sqrt((x * x).sum(1))
+    order = np.arange(len(x))
+    nodes = []  # begin, end, centre, radius, longest, first child, children
+
+    def add(begin: int, end: int, centre: int) -> None:
+        own = order[begin:end]
+        reach = float(np.sqrt(((x[own] - x[centre]) ** 2).sum(1).max()))
+        nodes.append([begin, end, centre, reach, float(length[own].max()), 0, 0])
+
+    if len(x):
+        add(0, len(x), 0)
+    at = 0
+    while at < len(nodes):
+        begin, end, centre, radius = nodes[at][:4]
+        if end - begin > leaf and radius > 0:
+            own = order[begin:end].copy()
+            centres, best, scale, fan = [centre], np.zeros(len(own), np.int64), radius / 2, min(FAN, -(-len(own) // leaf))
+            nearest = ((x[own] - x[centre]) ** 2).sum(1)
+            # Farthest points first: centres are more than the scale apart, and
+            # all points within it of one, unless the fan is full before.
+            while len(centres) < 2 or len(centres) < fan and nearest.max() > scale * scale:
+                c = int(own[np.argmax(nearest)])
+                d = ((x[own] - x[c]) ** 2).sum(1)
+                best[d < nearest] = len(centres)
+                nearest = np.minimum(nearest, d)
+                centres.append(c)
+            order[begin:end] = own[np.argsort(best, kind="stable")]
+            cuts = begin + np.searchsorted(np.sort(best), np.arange(len(centres) + 1))
+            nodes[at][5] = len(nodes)
+            for k, c in enumerate(centres):
+                if cuts[k + 1] > cuts[k]:
+                    add(int(cuts[k]), int(cuts[k + 1]), c)
+                    nodes[at][6] += 1
+        at += 1
+    place = np.empty(len(x), np.int64)
+    place[order] = np.arange(len(x))
+    columns = [np.array(c) for c in zip(*nodes, strict=True)] if nodes else [np.zeros(0, np.int64)] * 7
+    columns[2] = place[columns[2].astype(np.int64)]
+    return Tree(points[order], ids[order], *columns)
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n`` consecutive numbers from each start."""
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
 
 
 class Search:
-    """Best k candidates for each query of a block among one split's vectors."""
-
-    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int = K):
-        self.k, self.query_ids = k, query_ids
-        most = max([1, *(int(abs(x).max()) for x in (queries, points) if x.size)])
-        self.exact = most * most * max(1, queries.shape[1]) < 1 << 53
-        self.q, self.q_int = queries.astype(float), queries
-        distinct, which = np.unique(points, axis=0, return_inverse=True) if len(points) else (points, np.zeros(0, np.int64))
-        self.p, self.p_int = distinct.astype(float), distinct
-        order = np.lexsort((ids, which.ravel()))
-        owner, sorted_ids = which.ravel()[order], ids[order]
-        fresh = np.ones(len(order), bool)  # a repeated row takes no place of another id
-        fresh[1:] = (owner[1:] != owner[:-1]) | (sorted_ids[1:] != sorted_ids[:-1])
-        owner, sorted_ids = owner[fresh], sorted_ids[fresh]
-        cuts = np.searchsorted(owner, np.arange(len(distinct)))
-        self.ids = [sorted_ids[a : a + k + 1][: b - a] for a, b in zip(cuts, [*cuts[1:], len(owner)], strict=True)]
-        self.top: list[list[tuple[int, int]]] = [[] for _ in query_ids]  # heaps of (score, -id)
-        if len(self.q) and len(self.p):
-            self._query(cover_tree(self.q), [cover_tree(self.p)])
-
-    def _worst(self, q: Node) -> float:
-        """The worst kth score of a query group; none yet counts as minus infinity."""
-        return min((self.top[i][0][0] if len(self.top[i]) == self.k else -np.inf) for i in q.at.tolist())
-
-    def _query(self, q: Node, nodes: list[Node]) -> None:
-        if q.children:
-            # The candidate side is opened along with the query side, so that
-            # children of this group share what was pruned for it.
-            opened = [c for n in nodes for c in (n.children or [n])]
-            if len(opened) <= 512:
-                nodes = opened
-            for child in q.children:
-                self._query(child, nodes)
+    """Best k candidates for each query of a block among one split's vectors.
+
+    ``met`` counts compared pairs of vectors, ``bounded`` and ``pruned`` pairs of
+    nodes, ``inner`` those pruned while the query side was an inner node.
+    """
+
+    def __init__(self, asked: Tree, own: Tree, k: int = K):
+        self.k, self.a, self.b = k, asked, own
+        self.met = self.bounded = self.pruned = self.inner = 0
+        n = len(asked.ids)
+        most = max([1, *(int(abs(x).max()) for x in (asked.points, own.points) if x.size)])
+        dims = max(1, asked.points.shape[1] if n else 1)
+        self.exact = most * most * dims < 1 << 53
+        kind = float if self.exact else object
+        self.q, self.p = asked.points.astype(kind), own.points.astype(kind)
+        self.scores = np.full((n, k), LEAST, np.int64 if self.exact else object)
+        self.found = np.full((n, k), np.iinfo(np.int64).max)
+        if n and len(own.ids):
+            leaves, mine = own.leaves, asked.leaves
+            near = asked.square[mine][:, None] + own.square[leaves] - 2 * asked.centres[mine] @ own.centres[leaves].T
+            self.first = dict(zip(mine.tolist(), leaves[near.argmin(1)].tolist(), strict=True))
+            for q, c in self.first.items():
+                self._meet(q, np.array([c]))
+            self._descend(0, np.zeros(1, np.int64))
+
+    def _bounds(self, q: int, nodes: np.ndarray) -> np.ndarray:
+        a, b = self.a, self.b
+        dot, r, s = b.centres[nodes] @ a.centres[q], b.radius[nodes], a.radius[q]
+        one = dot + a.norm[q] * r + b.norm[nodes] * s + s * r
+        apart = np.sqrt(np.maximum(a.square[q] + b.square[nodes] - 2 * dot, 0))
+        size = a.longest[q] ** 2 + b.longest[nodes] ** 2
+        other = (size - np.maximum(apart * (1 - SLACK) - r - s - 1e-6, 0) ** 2) / 2
+        self.bounded += len(nodes)
+        return np.minimum(one, other) + SLACK * (1 + size)
+
+    def _worst(self, q: int) -> float:
+        """The worst kth score of a query group."""
+        return float(self.scores[self.a.begin[q] : self.a.end[q], -1].min())
+
+    def _kept(self, q: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bounds = self._bounds(q, nodes)
+        ok = bounds >= self._worst(q)
+        self.pruned += int((~ok).sum())
+        self.inner += int((~ok).sum()) if self.a.children[q] else 0
+        return nodes[ok], bounds[ok]
+
+    def _opened(self, nodes: np.ndarray) -> np.ndarray:
+        """The children of inner nodes, and leaves as they are."""
+        n = self.b.children[nodes]
+        return np.concatenate([nodes[n == 0], _ranges(self.b.child[nodes].astype(np.int64), n)])
+
+    def _descend(self, q: int, nodes: np.ndarray) -> None:
+        nodes, bounds = self._kept(q, nodes)
+        if self.a.children[q]:
+            nodes = self._kept(q, self._opened(nodes))[0]
+            for child in range(int(self.a.child[q]), int(self.a.child[q] + self.a.children[q])):
+                self._descend(child, nodes)
             return
-        heap = [(-b, i, n) for i, (b, n) in enumerate(zip(_bounds(q, nodes).tolist(), nodes, strict=True))]
-        heapq.heapify(heap)
-        number = len(heap)
-        while heap:
-            bound, _, n = heapq.heappop(heap)
-            if -bound < self._worst(q):
-                return  # all that is left is bounded lower still
-            if not n.children:
-                self._leaf(q, n)
-                continue
-            for b, c in zip(_bounds(q, n.children).tolist(), n.children, strict=True):
-                number += 1
-                heapq.heappush(heap, (-b, number, c))
-
-    def _leaf(self, q: Node, n: Node) -> None:
-        if self.exact:
-            scores = (self.q[q.at] @ self.p[n.at].T).astype(np.int64)
-        else:
-            scores = self.q_int[q.at].astype(object) @ self.p_int[n.at].astype(object).T
-        for i, row in zip(q.at.tolist(), scores, strict=True):
-            top, own = self.top[i], int(self.query_ids[i])
-            low = top[0][0] if len(top) == self.k else None
-            for j in range(len(row)) if low is None else np.flatnonzero(row >= low).tolist():
-                s = int(row[j])
-                for v in self.ids[n.at[j]].tolist():
-                    if v == own or (s, -v) in top:  # the latter: an id of several vectors with one score
-                        continue
-                    if len(top) < self.k:
-                        heapq.heappush(top, (s, -v))
-                    elif (s, -v) > top[0]:
-                        heapq.heapreplace(top, (s, -v))
-                    else:
-                        break
-
-
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    lists = column.to_pylist()
-    if any(abs(x) >= 1 << 62 for v in lists for x in (max(v, default=0), min(v, default=0))):
-        out = np.zeros((len(lists), width), object)
-    else:
-        out = np.zeros((len(lists), width), np.int64)
-    for i, v in enumerate(lists):
-        out[i, : len(v)] = v
+        while self.b.children[nodes].any():
+            nodes, bounds = self._kept(q, self._opened(nodes))
+        own = nodes != self.first[q]
+        order = np.argsort(-bounds[own], kind="stable")
+        nodes, bounds, size, best = nodes[own][order], bounds[own][order], self.b.end - self.b.begin, True
+        while len(nodes):
+            to = max(1, int(np.searchsorted(np.cumsum(size[nodes]), TILE, "right")))
+            self._meet(q, nodes[:to])
+            nodes, bounds = nodes[to:], bounds[to:]
+            ok = bounds >= self._worst(q)  # lower ones can't hold a better candidate
+            nodes, bounds = nodes[ok], bounds[ok]
+            if best:  # the best bounds came first; the others come as they lie
+                order, best = np.argsort(self.b.begin[nodes], kind="stable"), False
+                nodes, bounds = nodes[order], bounds[order]
+
+    def _meet(self, q: int, leaves: np.ndarray) -> None:
+        """Compares a query leaf with candidate leaves, all pairs of points."""
+        a, b = slice(int(self.a.begin[q]), int(self.a.end[q])), self.b
+        low, high = b.begin[leaves].astype(int), b.end[leaves].astype(int)
+        order = np.argsort(low)
+        low, high = low[order], high[order]
+        whole = (low[1:] == high[:-1]).all()
+        at = slice(low[0], high[-1]) if whole else _ranges(low, high - low)
+        own, ids = self.a.ids[a], b.ids[at]
+        self.met += len(own) * len(ids)
+        scores = self.q[a] @ self.p[at].T
+        hit = (scores >= self.scores[a, -1][:, None]) & (ids != own[:, None])
+        for i in np.flatnonzero(hit.any(1)).tolist():
+            j = np.flatnonzero(hit[i])
+            s = scores[i, j]
+            if len(j) > 4 * self.k:  # ties of the kth stay
+                few = s >= (np.partition(s, -self.k)[-self.k] if self.exact else sorted(s)[-self.k])
+                # An id of several vectors takes one place for each of its scores.
+                if len(np.unique(ids[j[few]])) >= self.k:
+                    j, s = j[few], s[few]
+            i += a.start
+            pairs = {(-int(x), int(v)) for x, v in zip(s, ids[j], strict=True)} | {(-int(x), int(v)) for x, v in zip(self.scores[i], self.found[i], strict=True)}
+            best = sorted(pairs)[: self.k]
+            best += [(-LEAST, np.iinfo(np.int64).max)] * (self.k - len(best))
+            self.scores[i] = [-x for x, _ in best]
+            self.found[i] = [v for _, v in best]
+
+    def rows(self) -> Iterator[tuple[int, int, int]]:
+        for query, scores, ids in zip(self.a.ids.tolist(), self.scores.tolist(), self.found.tolist(), strict=True):
+            yield from ((query, v, s) for s, v in zip(scores, ids, strict=True) if s != LEAST)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks()
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    width = int(sizes.max(initial=0))
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(sizes), width), np.int64)
+    out[np.arange(width) < sizes[:, None]] = flat
     return out
 
 
-def _search(rows: pa.Table, asked: pa.Table, k: int) -> pa.Table:
-    out: tuple[list[int], list[int], list[int]] = ([], [], [])
-    if rows.num_rows and asked.num_rows:
-        width = max(len(v) for t in (rows, asked) for v in t["v"].to_pylist())
-        query_ids = asked["vec_id"].to_numpy()
-        found = Search(_matrix(asked["v"], width), query_ids, _matrix(rows["v"], width), rows["vec_id"].to_numpy(), k)
-        for query, top in zip(query_ids.tolist(), found.top, strict=True):
-            for s, v in top:
-                for values, x in zip(out, (query, -v, s), strict=True):
-                    values.append(x)
-    return pa.table([pa.array(v, pa.int64()) for v in out], names=["query_id", "vec_id", "score"])
+def _tree(rows: pa.Table, part: str, k: int | None) -> pa.Table:
+    """One row: the number of the part and its tree."""
+    points, ids = _matrix(rows["v"]), rows["vec_id"].to_numpy()
+    order = np.lexsort((ids, *points.T[::-1]))
+    points, ids = points[order], ids[order]
+    equal = np.zeros(len(ids), bool)
+    equal[1:] = (points[1:] == points[:-1]).all(1)
+    fresh = ~equal
+    fresh[1:] |= ids[1:] != ids[:-1]  # a repeated row takes no place of another id
+    points, ids, equal = points[fresh], ids[fresh], equal[fresh]
+    if k is not None:
+        first = np.maximum.accumulate(np.where(equal, 0, np.arange(len(ids))))
+        few = np.arange(len(ids)) - first <= k
+        points, ids = points[few], ids[few]
+    tree = pickle.dumps(cover_tree(points, ids, FEW if k is None else LEAF), protocol=5)
+    return pa.table({part: rows[part][:1], "tree": pa.array([tree], pa.binary())})
+
+
+def _padded(tree: Tree, width: int) -> Tree:
+    tree.points = np.pad(tree.points, ((0, 0), (0, width - tree.points.shape[1])))
+    tree.__post_init__()
+    return tree
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int):
+    for batch in batches:
+        for own, asked in zip(batch.column(0), batch.column(1), strict=True):
+            trees = [pickle.loads(x.as_buffer()) for x in (asked, own)]
+            width = max(t.points.shape[1] for t in trees)
+            found = list(Search(*[_padded(t, width) for t in trees], k).rows())
+            columns = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], names=["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -199,13 +290,13 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     counts = valid.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
     splits, blocks = -(-counts["n"] // SPLIT) or 1, -(-counts["q"] // BLOCK) or 1
 
-    def dealt(into: int, seed: int):
-        return F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(into)).cast("int")
+    def grown(rows: DataFrame, part: str, into: int, seed: int, most: int | None) -> DataFrame:
+        dealt = rows.withColumn(part, F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(into)).cast("int")).repartition(into, part)
+        return common.saved(dealt.groupBy(part).applyInArrow(lambda t: _tree(t, part, most), f"{part} int, tree binary"))
 
-    left = valid.withColumn("split", dealt(splits, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", dealt(blocks, 2)).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    found = left.groupBy("split", "block").cogroup(right.groupBy("split", "block")).applyInArrow(
-        lambda rows, own: _search(rows, own, k), "query_id bigint, vec_id bigint, score bigint"
-    )
+    left = grown(valid, "split", splits, 1, k).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = grown(asked, "block", blocks, 2, None).withColumnRenamed("tree", "asked")
+    pairs = left.join(right, "block").select("split", "block", "tree", "asked").repartition(splits * blocks, "split", "block")
+    found = pairs.select("tree", "asked").mapInArrow(lambda it: _search(it, k), "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

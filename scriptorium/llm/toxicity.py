@@ -4,9 +4,13 @@ The features of a text are the counts of its hashed character n-grams (bytes,
 A-Z lower-cased), divided by the text's length and scaled by the log-count
 ratio that naive Bayes gives the n-gram on labelled texts. A logistic
 regression over the scaled features gives the score. The model is fitted on a
-documented, bounded sample of labelled rows (``SAMPLE_ROWS`` rows of at most
-``SAMPLE_BYTES`` bytes, those whose hashed ids are smallest); every text is
-scored whole, in one pass without a shuffle.
+documented, bounded sample of labelled rows (``SAMPLE_ROWS`` rows, those whose
+hashed ids are smallest, of any length). A second model, fitted without every
+fifth text of the sample, scores these; the intercept is moved so that the score
+0.5 is the least margin at which at most ``MOST_FALSE`` of the label 0 among them
+would be taken for label 1, since a text that the classifier merely suspects
+scores far below one half otherwise. Every text is scored whole, in one pass
+without a shuffle.
 
 Defined cases: null and empty texts have no n-gram and get the model's
 intercept; labels that are null or other than 0 and 1 are no labels; without
@@ -30,7 +34,8 @@ from scriptorium.llm import common
 ORDERS = (3, 4, 5)
 BITS = 20
 SAMPLE_ROWS = 6000
-SAMPLE_BYTES = 20_000
+#: Share of label 0 that may reach the score 0.5 in the sample's own check, at most.
+MOST_FALSE = 0.01
 #: A text's length enters as n-grams per ``PER`` characters.
 PER = 50.0
 #: Held-out rows: crc32 of the id as text has this remainder.
@@ -107,31 +112,54 @@ def _all_grams(raw: bytes | None) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint32), *(_grams(data) if len(data) >= max(ORDERS) else ())])
 
 
-def fit(rows: list[tuple[bytes | None, int]], alpha: float = 1.0, decay: float = 3e-4, rounds: int = 300) -> Model:
-    """The model of labelled texts; deterministic for a given list."""
-    y = np.array([label for _, label in rows], float)
-    size = 1 << BITS
-    flat = Model(np.zeros(size, np.float32), -60.0)
+def fit(rows: list[tuple[bytes | None, int]], alpha: float = 1.0) -> Model:
+    """The model of labelled texts, with a checked threshold; deterministic for a given list.
+
+    Texts are gone through twice, for the ratios and for the features that the
+    ratios leave, so that no text's n-grams are kept but those.
+    """
+    y, size = np.array([label for _, label in rows], float), 1 << BITS
     if not len(y) or y.min() == y.max():
-        return flat
-    # Texts are gone through twice, so that no text's n-grams are kept but those
-    # that the ratios leave.
-    seen = [np.zeros(size), np.zeros(size)]
-    for raw, label in rows:
-        seen[int(label)][np.unique(_all_grams(raw))] += 1
-    p, q = seen[1] + alpha, seen[0] + alpha
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    ratio[(seen[0] + seen[1] < 3) | (np.abs(ratio) < 0.7)] = 0
-    row, col, val = [], [], []
-    for i, (raw, _) in enumerate(rows):
+        return Model(np.zeros(size, np.float32), -60.0)
+    checked = np.arange(len(y)) % FOLDS == 0
+    parts = [np.ones(len(y), bool), ~checked]
+    if y[parts[1]].min() == y[parts[1]].max() or (y[checked] == 0).sum() * MOST_FALSE < 1:
+        parts = parts[:1]
+    seen = np.zeros((len(parts), 2, size), np.float32)
+    for i, (raw, label) in enumerate(rows):
+        keys = np.unique(_all_grams(raw))
+        for k, part in enumerate(parts):
+            if part[i]:
+                seen[k, int(label), keys] += 1
+    ratios = []
+    for no, yes in seen:
+        p, q = yes + alpha, no + alpha
+        ratio = (np.log(p / p.sum()) - np.log(q / q.sum())).astype(np.float32)
+        ratio[(yes + no < 3) | (np.abs(ratio) < 0.7)] = 0
+        ratios.append(ratio)
+    some = np.any([r != 0 for r in ratios], axis=0)
+    found = []
+    for raw, _ in rows:
         h = _all_grams(raw)
-        keys, counts = np.unique(h[ratio[h] != 0], return_counts=True)
-        row.append(np.full(len(keys), i, np.int32))
-        col.append(keys.astype(np.int32))
-        val.append((PER * counts / max(1, len(_framed(raw))) * ratio[keys]).astype(np.float32))
-    row, col, val = np.concatenate(row), np.concatenate(col), np.concatenate(val)
+        keys, counts = np.unique(h[some[h]], return_counts=True)
+        found.append((keys, (PER * counts / max(1, len(_framed(raw)))).astype(np.float32)))
+    models = [_regression([x for x, own in zip(found, part, strict=True) if own], y[part], ratio) for part, ratio in zip(parts, ratios, strict=True)]
+    if len(models) < 2:
+        return models[0]
+    other = models.pop()
+    margin = np.sort([other.intercept + float(v @ other.weight[k]) for (k, v), own, label in zip(found, checked, y, strict=True) if own and label == 0])
+    bound = min(0.0, float(margin[-1 - int(len(margin) * MOST_FALSE)]) + 1e-9)
+    return Model(models[0].weight, models[0].intercept - bound)
+
+
+def _regression(found: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ratio: np.ndarray, decay: float = 3e-4, rounds: int = 100) -> Model:
+    """Logistic regression over features scaled by ``ratio``, by adaptive steps."""
+    row = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
+    col, val = (np.concatenate(v) for v in zip(*found, strict=True))
+    own = ratio[col] != 0
+    row, col, val = row[own], col[own], val[own] * ratio[col[own]]
     used = np.unique(col)
-    col = np.searchsorted(used, col).astype(np.int32)
+    col = np.searchsorted(used, col)
     w, b = np.zeros(len(used)), float(np.log(y.mean() / (1 - y.mean())))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
@@ -144,7 +172,7 @@ def fit(rows: list[tuple[bytes | None, int]], alpha: float = 1.0, decay: float =
         rate = 0.05 * min(1.0, 2 * (1 - t / (rounds + 1)))
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-9)
-    weight = np.zeros(size, np.float32)
+    weight = np.zeros(len(ratio), np.float32)
     weight[used] = w * ratio[used]
     return Model(weight, b)
 
@@ -168,7 +196,6 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[
     )
     found = (
         common.texts(docs)
-        .filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
         .join(F.broadcast(picked), "doc_id")
         .select("doc_id", "toxic", "text")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "text")

@@ -123,7 +123,7 @@ def top_k(rows, k=5, every=50):
     return out
 
 
-def licenses(text, base, templates, threshold=0.8, block=128, stride=64):
+def licenses(text, base, templates, threshold=0.8):
     w = words(text)
     starts, own = [], set()
     for phrase, label in base:
@@ -133,10 +133,11 @@ def licenses(text, base, templates, threshold=0.8, block=128, stride=64):
                 starts.append(i)
                 own.add(label)
     labels, score = set(own), 0.0
-    for s in range(0, max(1, len(w)), stride):
-        b = set(w[s : s + block])
-        for label, text_ in templates:
-            t = set(text_.split())
+    for label, text_ in templates:
+        t = set(text_.split())
+        stride = next(n for n in (64, 256, 1024) if len(text_.split()) <= n)
+        for s in range(0, max(1, len(w)), stride):
+            b = set(w[s : s + 2 * stride])
             if len(b & t) >= math.ceil(threshold * len(t) - 1e-9):
                 labels.add(label)
                 score = max(score, len(b & t) / len(t))
@@ -161,3 +162,45 @@ def token_count(word, pieces):
             if best[i] is None or reach > best[i]:
                 best[i] = reach
     return -best[-1][1]
+
+
+def toxic_score(raw, model, orders, bits, per):
+    """The classifier's score, n-gram by n-gram."""
+    data = b" " + bytes(c + 32 if 65 <= c <= 90 else c for c in raw) + b" " if raw else b""
+    m, total = (1 << 32) - 1, 0.0
+    for n in orders:
+        for i in range(len(data) - n + 1):
+            h = data[i]
+            for c in data[i + 1 : i + n]:
+                h = (h * 0x01000193 + c) & m
+            x = (h ^ h >> 15) * (0x85EBCA6B + 2 * n) & m
+            x ^= x >> 13
+            total += float(model.weight[(x * 0xC2B2AE35 & m) >> 32 - bits])
+    return 1 / (1 + math.exp(-min(60, max(-60, model.intercept + per * total / max(1, len(data))))))
+
+
+def card(digits):
+    double = [int(c) * (1 + (i % 2)) for i, c in enumerate(reversed(digits))]
+    return sum(d - 9 if d > 9 else d for d in double) % 10 == 0
+
+
+def iban(value):
+    number = "".join(str(int(c, 36)) for c in value[4:] + value[:4])
+    return int(number) % 97 == 1
+
+
+def personal(text):
+    """Values of four kinds, each sought alone by a plain rule: (kind, value)."""
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9._%+@-])([A-Za-z0-9][A-Za-z0-9._%+-]*)@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}", text):
+        out.append(("email", m[1]))
+    for m in re.finditer(r"(?<![A-Za-z0-9.+-])[0-9]{13,19}(?![A-Za-z0-9]|[.-][0-9])", text):
+        if card(m[0]):
+            out.append(("card", m[0]))
+    for m in re.finditer(r"(?<![A-Za-z0-9.+-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![A-Za-z0-9]|[.-][0-9])", text):
+        if m[1] not in ("000", "666") and m[1][0] != "9" and m[2] != "00" and m[3] != "0000":
+            out.append(("ssn", m[0]))
+    for m in re.finditer(r"(?<![A-Za-z0-9.+-])[0-9]{1,3}(\.[0-9]{1,3}){3}(?![A-Za-z0-9]|[.-][0-9])", text):
+        if all(str(int(p)) == p and int(p) < 256 for p in m[0].split(".")):
+            out.append(("ipv4", m[0]))
+    return out

@@ -1,11 +1,13 @@
 """SimHash, substring and suffix dedup, decontamination against plain versions."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from scriptorium.llm import common, decontam, exchange, simhash, substring, suffix
 
@@ -260,6 +262,39 @@ def test_no_benchmark(spark, docs):
     assert decontam.contamination(docs([]), spark.createDataFrame(ITEMS, "item_id bigint, text string")).collect() == []
 
 
+def test_repetitive_texts_take_linear_time():
+    index = decontam.Index([("1", b"na " * 10_000)])
+    began = time.process_time()
+    counts, found = index.hits([b"na " * 20_000])
+    assert counts == [20_000] and decontam.covered(np.array(found[0][0])) == 20_000 and time.process_time() - began < 5
+
+
+def test_long_items_in_parts(spark, docs, monkeypatch):
+    items = [(1, prose(5, 700)), (2, prose(6, 20))]
+    w = items[0][1].split()
+    data = [(k, " ".join(w[k : k + 13])) for k in range(0, 687, 7)] + [(900, " ".join(w[100:112]))]
+    monkeypatch.setattr(decontam.blocks, "__defaults__", (40,))
+    assert len(list(decontam.blocks(spark.createDataFrame(items, "item_id bigint, text string")))) > 9
+    same(decontam.contamination(docs(data), spark.createDataFrame(items, "item_id bigint, text string")), brute.contamination(data, items))
+
+
+CLASHES = ["spans", "spans_", "own", "print", "other", "number", "__spans", "__id", "__f", "__n", "f", "least", "component", "tile", "row", "w", "w_"]
+
+
+def test_columns_of_any_name_stay(spark, docs):
+    from scriptorium.llm import licenses, pii, toxicity
+
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    base = docs([(1, prose(20, 30)), (1, prose(21, 30)), (2, prose(20, 30)), (3, ITEMS[0][1])])
+    for k, name in enumerate(CLASHES):
+        base = base.withColumn(name, F.lit(k))
+    for kept in (decontam.keep_clean(base, items), simhash.one_of_each(base), pii.replace_text(base), toxicity.keep_clean(base, spark.createDataFrame([], "doc_id bigint, toxic int"))):
+        assert kept.columns == base.columns
+        assert all(r[name] == k for r in kept.collect() for k, name in enumerate(CLASHES))
+    assert decontam.keep_clean(base, items).count() == 3 and simhash.one_of_each(base).count() == 3
+    assert licenses.scan(base).count() == suffix.repeated_bytes(base).count() == substring.repeated_words(base).count() == 4
+
+
 def test_one_of_each_with_shared_ids(docs):
     r = random.Random(11)
     texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(80)) for _ in range(4)]
