@@ -33,3 +33,16 @@ def saved(df: DataFrame) -> DataFrame:
     out = df.checkpoint(eager=True)
     df._jdf.queryExecution().toRdd().cleanShuffleDependencies(False)
     return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of stored tables that nothing will read any more.
+
+    Only for tables of :func:`saved` whose every reader has itself been saved.
+    """
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
