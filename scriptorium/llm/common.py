@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-saved = storage.saved
+saved, dropped = storage.saved, storage.dropped
 
 
 def unused(columns: Iterable[str], *names: str) -> list[str]:

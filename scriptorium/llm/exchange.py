@@ -29,7 +29,7 @@ from scriptorium.llm import common
 BATCH_BYTES = 4 << 20
 PER_TASK = 4
 #: Batches for one bucket, and buckets of a small table at most.
-PER_BUCKET = 8
+PER_BUCKET = 4
 FEW_BUCKETS = 32
 
 DEALT = "batch bigint, n_bytes bigint, blob binary"

@@ -188,6 +188,7 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     second = common.saved(
         dealt.by_batch(dealt.docs).cogroup(dealt.by_batch(answers)).applyInArrow(lambda rows, own: _second(rows, own, buckets), SECOND)
     )
+    common.dropped(dealt.docs, answers)
     keys = second.filter("kind = 'keys'").selectExpr("bucket", "batch", "blob AS keys")
     less = dealt.by_bucket(keys).applyInArrow(exchange.answer_least, exchange.ANSWERS)
     held = second.filter("kind = 'doc'").select("batch", "doc_id", "blob")

@@ -11,16 +11,16 @@ once are done; the exchange of ``exchange.py`` tells which occur more often.
 the anchor on, cut at the text's ends; equal ones of a batch once) to a bucket
 of their hash. There the suffixes of one anchor hash are sorted by a merge sort
 whose comparisons find the common extension of two suffixes by binary search
-over prefix polynomial hashes (modulo 2**31 - 1, under two bases); the reversed
-prefixes before the anchors are sorted the same way. Neighbours' extensions are
-verified byte by byte; if a hash has collided the sort is repeated with other
-bases. A group's distinct extensions cut the sorted suffixes into classes; within
+over prefix polynomial hashes (modulo 2**31 - 1); the reversed prefixes before the
+anchors are sorted the same way. Neighbours' extensions and their order are
+verified byte by byte; if a hash has collided the sort is repeated with another
+base. A group's distinct extensions cut the sorted suffixes into classes; within
 a class the neighbours in the order of the reversed prefixes tell how far the
 match goes to the left. That gives every start whose 400 bytes occur elsewhere,
 exactly.
 
-*Hot anchors.* An anchor hash that occurs over ``HOT`` times is not sorted in one
-place: its at most 151 strings of 400 bytes go to the exchange, one for each
+*Hot anchors.* An anchor hash with over ``HOT`` surroundings, those of a batch
+counted once where they are equal, is not sorted in one place: its at most 151 strings of 400 bytes go to the exchange, one for each
 distinct string and batch, and are told apart by 128-bit BLAKE2b digests of all
 their bytes. So no task holds an unbounded group, and no pairs are listed. Both
 ways give the same answers; equality never rests on the anchors' 64-bit hashes.
@@ -54,15 +54,15 @@ GRAM = 150
 REACH = 150
 #: Strings of so many bytes share their anchors.
 SPAN = GRAM + REACH
-HOT = 256
+HOT = 1024
 LAST = np.iinfo(np.int64).max
 #: Bytes of surroundings sorted at a time, and of text hashed at a time.
 CHUNK = 1 << 20
 STEP = 1 << 15
-#: The modulus of the prefix hashes, and their bases, tried pair by pair.
+#: The modulus of the prefix hashes, and their bases, tried one by one.
 PRIME_BITS = 31
 PRIME = np.uint64((1 << PRIME_BITS) - 1)
-BASES = [tuple(random.Random(k).sample(range(1 << 20, (1 << PRIME_BITS) - 1), 2)) for k in range(16)]
+BASES = random.Random(0).sample(range(1 << 20, (1 << PRIME_BITS) - 1), 64)
 
 ANSWERS = "batch bigint, bucket int, kind string, bits binary"
 SENT = "kind string, batch bigint, bucket int, blob binary, doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, repeats_earlier int, kept_sha256 string"
@@ -152,23 +152,19 @@ def _powers(n: int, base: int) -> np.ndarray:
 class Suffixes:
     """Strings of a buffer, in groups, compared by hashed common extensions."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, group: np.ndarray, bases: tuple[int, int]):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, group: np.ndarray, base: int):
         self.data, self.starts, self.sizes, self.group = data, starts, sizes, group
         n = len(data)
-        self.sums = []
-        for base in bases:
-            power, total = _powers(n, base), np.zeros(n + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n] % PRIME, out=total[1:])
-            self.sums.append((_rest(total), power[::-1].copy()))
+        power, total = _powers(n, base), np.zeros(n + 1, np.uint64)
+        np.cumsum(_rest((data.astype(np.uint64) + np.uint64(1)) * power[:n]), out=total[1:])
+        self.total, self.up = _rest(total), power[::-1].copy()
         self.bytes = data.tobytes()
 
     def _same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Whether the ``n`` bytes at a and b have the same hashes."""
-        out = np.ones(len(a), bool)
-        for total, up in self.sums:  # sums are brought to one power by what they lack to the largest
-            left = _rest((total[a + n] + PRIME - total[a]) * up[a])
-            out &= left == _rest((total[b + n] + PRIME - total[b]) * up[b])
-        return out
+        """Whether the ``n`` bytes at a and b have the same hash: sums brought to
+        one power by what they lack to the largest."""
+        left = (self.total[a + n] + PRIME - self.total[a]) * self.up[a]
+        return _rest(left) == _rest((self.total[b + n] + PRIME - self.total[b]) * self.up[b])
 
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common prefix of strings x and y, by binary search."""
@@ -185,12 +181,7 @@ class Suffixes:
 
     def less(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         n = self.extension(x, y)
-        over = len(self.data) - 1
-        a = self.data[np.minimum(self.starts[x] + n, over)].astype(np.int64)
-        b = self.data[np.minimum(self.starts[y] + n, over)].astype(np.int64)
-        a[n == self.sizes[x]] = -1
-        b[n == self.sizes[y]] = -1
-        return a < b
+        return self._next(x, n) < self._next(y, n)
 
     def order(self) -> np.ndarray:
         """Strings sorted within their groups (which are contiguous), stably.
@@ -238,6 +229,7 @@ class Suffixes:
         same = np.flatnonzero(self.group[order[1:]] == self.group[order[:-1]])
         out[same] = self.extension(order[same], order[same + 1])
         self.verify(order[same], order[same + 1], out[same])
+        self.in_order(order[same], order[same + 1], out[same])
         return out
 
     def verify(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> None:
@@ -248,6 +240,17 @@ class Suffixes:
             if data[i : i + k] != data[j : j + k] or k < most and data[i + k] == data[j + k]:
                 raise Collision
 
+    def in_order(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> None:
+        """Neighbours with the verified common extension ``n`` stand in order."""
+        if (self._next(x, n) > self._next(y, n)).any():
+            raise Collision
+
+    def _next(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The byte after ``n``, -1 at the end."""
+        out = self.data[np.minimum(self.starts[x] + n, len(self.data) - 1)].astype(np.int64)
+        out[n == self.sizes[x]] = -1
+        return out
+
 
 def recurring(contexts: list[bytes], lefts: np.ndarray, keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows (context, a1, a2): strings that start a1 to a2 bytes before the
@@ -257,25 +260,25 @@ def recurring(contexts: list[bytes], lefts: np.ndarray, keys: np.ndarray, ranks:
     ``keys`` are sorted; a context is its ``lefts`` bytes before the anchor and
     the rest from the anchor on.
     """
-    for bases in BASES:
+    for base in BASES:
         try:
-            return _recurring(contexts, lefts, keys, ranks, bases)
+            return _recurring(contexts, lefts, keys, ranks, base)
         except Collision:
             continue
     raise RuntimeError("hash collisions under every base")
 
 
-def _recurring(contexts: list[bytes], lefts: np.ndarray, keys: np.ndarray, ranks: np.ndarray, bases: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def _recurring(contexts: list[bytes], lefts: np.ndarray, keys: np.ndarray, ranks: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(contexts)
     sizes = np.array([len(c) for c in contexts], np.int64)
     ends = np.cumsum(sizes)
     anchor = ends - sizes + lefts
     data = np.frombuffer(b"".join(contexts), np.uint8)
     group = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
-    right = Suffixes(data, anchor, sizes - lefts, group, bases)
+    right = Suffixes(data, anchor, sizes - lefts, group, base)
     order = right.order()
     extent = right.neighbours(order)
-    left = Suffixes(np.ascontiguousarray(data[::-1]), len(data) - anchor, lefts, group, bases)
+    left = Suffixes(np.ascontiguousarray(data[::-1]), len(data) - anchor, lefts, group, base)
     left_order = left.order()
     left.neighbours(left_order)
     rank = np.empty(n, np.int64)
@@ -331,9 +334,16 @@ class Batch:
         self.owner, self.place, self.keys = anchors(raws)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct anchor hashes, and how often each occurs here, up to 255."""
+        """Sorted distinct anchor hashes, and for each how many different
+        surroundings it has here, up to 127, plus 128 if it occurs more than once."""
         keys, counts = np.unique(self.keys, return_counts=True)
-        return keys, np.minimum(counts, 255)
+        several = counts > 1
+        kinds = np.ones(len(keys), np.int64)
+        if several.any():
+            entries = self.contexts(keys[several])[1]
+            own, n = np.unique(np.array([e[0] for e in entries], np.uint64), return_counts=True)
+            kinds[np.searchsorted(keys, own)] = np.minimum(n, 127)
+        return keys, kinds + 128 * several
 
     def least(self, owners: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
         """The least rank of the texts that have each of ``n`` things."""
@@ -401,15 +411,15 @@ def _first(batches: Iterator[pa.RecordBatch], buckets: int):
 
 
 def _answer_first(rows: pa.Table, hot: int) -> pa.Table:
-    """0 for a key that occurs once, 1 for more often, 2 for over ``hot`` times."""
+    """0 for a key that occurs once, 1 for more often, 2 for over ``hot`` surroundings."""
     blobs, sources = rows["keys"].to_pylist(), rows["batch"].to_pylist()
     sent = [(np.frombuffer(x, "<u4", len(x) // 5), np.frombuffer(x, np.uint8, len(x) // 5, 4 * (len(x) // 5))) for x in blobs]
     keys, counts = np.concatenate([k for k, _ in sent]), np.concatenate([c for _, c in sent])
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order].astype(np.int64)
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    total = np.add.reduceat(counts, begin)
-    state = (total > 1).astype(np.uint8) + (total > hot)
+    several = (np.add.reduceat(counts >> 7, begin) > 0) | (np.diff(np.append(begin, len(keys))) > 1)
+    state = several.astype(np.uint8) + (several & (np.add.reduceat(counts & 127, begin) > hot))
     known, bucket, out = keys[begin], rows["bucket"][0].as_py(), []
     for batch, (own, _) in zip(sources, sent, strict=True):
         s = state[np.searchsorted(known, own)]
@@ -630,6 +640,7 @@ def repeated_bytes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     second = common.saved(
         dealt.by_batch(dealt.docs).cogroup(dealt.by_batch(answers)).applyInArrow(lambda rows, own: _second(rows, own, buckets), SENT)
     )
+    common.dropped(dealt.docs, answers)
     asked = second.filter("kind IN ('context', 'string', 'short')").select("kind", "batch", "bucket", "blob")
     recur = dealt.by_bucket(asked).applyInArrow(_answer_second, ANSWERS)
     held = second.filter("kind = 'doc'").select("batch", "doc_id", "blob")

@@ -44,7 +44,7 @@ def test_repeated_words(docs):
     same(substring.repeated_words(docs(corpus())), brute.repeated_words(corpus()))
 
 
-@pytest.mark.parametrize("hot", [256, 3, 0])
+@pytest.mark.parametrize("hot", [1024, 3, 0])
 def test_repeated_bytes(docs, hot):
     same(suffix.repeated_bytes(docs(corpus()), hot), brute.repeated_bytes(corpus()))
 
@@ -121,7 +121,7 @@ def test_equal_hashes_of_unequal_words(monkeypatch):
     assert sorted(found) == sorted(brute.repeated_words(rows))
 
 
-@pytest.mark.parametrize("hot", [256, 3])
+@pytest.mark.parametrize("hot", [1024, 3])
 def test_equal_hashes_of_unequal_strings(monkeypatch, hot):
     monkeypatch.setattr(suffix, "string_hashes", lambda data, n, own=suffix.string_hashes: own(data, n) % np.uint64(61) << np.uint64(32))
     rows = [(i, t) for i, t in corpus() if i is not None and t]
@@ -164,6 +164,14 @@ def test_suffix_order_is_right():
     assert (s.neighbours(order) >= -1).all()
 
 
+def test_wrong_order_is_noticed():
+    data = np.frombuffer(b"abcabd", np.uint8)
+    s = suffix.Suffixes(data, np.array([0, 3]), np.array([3, 3]), np.array([0, 0]), suffix.BASES[0])
+    s.in_order(np.array([0]), np.array([1]), np.array([2]))
+    with pytest.raises(suffix.Collision):
+        s.in_order(np.array([1]), np.array([0]), np.array([2]))
+
+
 def test_collision_is_noticed():
     data = np.frombuffer(b"abcabd", np.uint8)
     s = suffix.Suffixes(data, np.array([0, 3]), np.array([3, 3]), np.array([0, 0]), suffix.BASES[0])
