@@ -35,21 +35,23 @@ def pairs_within(members: DataFrame, group: str, member: str) -> DataFrame:
 def nearest_in_band(left: DataFrame, right: DataFrame, key: str, start: str, end: str, gap: float) -> DataFrame:
     """For each left row the nearest right row of the same key within ``gap``.
 
-    An equi-join on key and band keeps the candidates to neighbouring bands: a
-    right row stands in its own band and the two beside it. The gap is the
+    An equi-join on key and band keeps the candidates to common bands: a left
+    row stands in all bands of its range, a right row in those within the gap of
+    its range, and a pair counts in the first band that both have. The gap is the
     distance between the ranges, 0 where they meet; the first of equal gaps by
     (left start, right start) is kept.
     """
     band = lambda c: F.floor(c / F.lit(gap)).cast("bigint")
-    a = left.withColumn("__band", band(F.col(start)))
+    at, low, high, number = "__band", "__low", "__high", "__n"
+    a = left.withColumn(low, band(F.col(start))).withColumn(at, F.explode(F.sequence(F.col(low), band(F.col(end)))))
     b = right.select(*[F.col(c).alias(f"r_{c}") if c != key else F.col(c) for c in right.columns])
-    b = b.withColumn("__band", F.explode(F.sequence(band(F.col(f"r_{start}")) - 1, band(F.col(f"r_{start}")) + 1)))
-    met = a.join(b, [key, "__band"]).withColumn(
+    b = b.withColumn(high, band(F.col(f"r_{start}") - F.lit(gap))).withColumn(at, F.explode(F.sequence(F.col(high), band(F.col(f"r_{end}") + F.lit(gap)))))
+    met = a.join(b, [key, at]).filter(F.col(at) == F.greatest(low, high)).withColumn(
         "gap", F.greatest(F.col(f"r_{start}") - F.col(end), F.col(start) - F.col(f"r_{end}"), F.lit(0))
     )
-    met = met.filter(F.col("gap") <= gap).drop("__band")
+    met = met.filter(F.col("gap") <= gap).drop(at, low, high)
     order = Window.partitionBy(key, *[c for c in left.columns if c != key]).orderBy("gap", start, f"r_{start}", *[f"r_{c}" for c in right.columns if c != key])
-    return met.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    return met.withColumn(number, F.row_number().over(order)).filter(F.col(number) == 1).drop(number)
 
 
 def as_of(points: DataFrame, marks: DataFrame, key: str, at: str, mark_at: str, value: str) -> DataFrame:

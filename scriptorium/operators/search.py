@@ -67,6 +67,15 @@ def layer_score(text: Column, query: str, entity_terms=(), linked: Column | None
     return F.when(score > 0, score + bonus).otherwise(F.lit(0))
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a costly column that later filters and projections don't compute again.
+
+    Catalyst copies an expression into every filter above it; the row generator
+    stops that, so the expression is evaluated once a row.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def ranked(hits: DataFrame, score: str, keys: list[str], k: int) -> DataFrame:
     """The k best by score and then by keys, with their ranks and the number of matches."""
     checked_k(k)

@@ -93,6 +93,21 @@ def j8_nearest_in_band(spark, sf_dir):
     return J.nearest_in_band(clicks, buys, "user_id", "t", "t2", 21_600_000_000).select("event_id", "r_event_id", "gap")
 
 
+@query(
+    """WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 3600000000 AS t, epoch_us(ts) // 3600000000 + CAST(floor(value) AS BIGINT) AS t2 FROM events),
+    m AS (SELECT c.event_id, p.event_id AS r_event_id, greatest(p.t - c.t2, c.t - p.t2, 0) AS gap,
+        row_number() OVER (PARTITION BY c.event_id ORDER BY greatest(p.t - c.t2, c.t - p.t2, 0), p.t, p.event_id) AS n
+      FROM e c JOIN e p ON c.user_id = p.user_id AND greatest(p.t - c.t2, c.t - p.t2, 0) <= 12 WHERE c.event_type = 'click' AND p.event_type = 'purchase')
+    SELECT event_id, r_event_id, gap FROM m WHERE n = 1"""
+)
+def j8_nearest_range(spark, sf_dir):
+    """Ranges of as many hours as an event's value: the nearest purchase's within twelve hours of each click's."""
+    hour = F.floor(_seconds() / 3_600_000_000).cast("bigint")
+    e = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", hour.alias("t"), (hour + F.floor("value").cast("bigint")).alias("t2"))
+    clicks, buys = (e.filter(F.col("event_type") == k).drop("event_type") for k in ("click", "purchase"))
+    return J.nearest_in_band(clicks, buys, "user_id", "t", "t2", 12).select("event_id", "r_event_id", "gap")
+
+
 _SPANS = """SELECT o_custkey AS id, o_orderkey AS k, CASE WHEN o_orderstatus <> 'P' THEN year(o_orderdate) END AS s,
   CASE WHEN o_orderpriority <> '5-LOW' THEN year(o_orderdate) + CAST(o_orderkey % 4 AS INTEGER) END AS e FROM orders"""
 
@@ -156,30 +171,12 @@ def j14_both_ways(spark, sf_dir):
     return seen.groupBy("me", "my_role").agg(F.count("*").alias("n_others"))
 
 
-@query(
-    """WITH RECURSIVE edges AS (SELECT o_orderkey AS child, o_orderkey // 3 AS parent FROM orders WHERE o_orderkey > 0),
-    path(id, node, depth) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders WHERE o_orderkey % 97 = 0
-      UNION ALL SELECT id, parent, depth + 1 FROM path JOIN edges ON child = node WHERE depth < 12)
-    SELECT id, CAST(max(depth) AS INTEGER) AS depth, string_agg(CAST(node AS VARCHAR), '>' ORDER BY depth) AS path FROM path GROUP BY id"""
-)
-def j15_lineage_path(spark, sf_dir):
-    """Ordered path from a derived row to its root, one level a join."""
-    ids = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("child"))
-    edges = ids.filter("child > 0").withColumn("parent", F.floor(F.col("child") / 3).cast("bigint"))
-    at = ids.filter("child % 97 = 0").select(F.col("child").alias("id"), F.col("child").alias("node"), F.array("child").alias("path"))
-    for _ in range(12):
-        at = at.join(edges, F.col("node") == F.col("child"), "left").select(
-            "id", F.coalesce("parent", "node").alias("node"), F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("parent"))).alias("path")
-        )
-    return at.select("id", (F.size("path") - 1).alias("depth"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
-
-
 @query(
     """WITH RECURSIVE edges AS (SELECT o_orderkey AS child, o_orderkey // 3 AS parent FROM orders WHERE o_orderkey > 0),
     path(id, node, depth) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders UNION ALL SELECT id, parent, depth + 1 FROM path JOIN edges ON child = node)
     SELECT id, CAST(max(depth) AS INTEGER) AS depth, string_agg(CAST(node AS VARCHAR), '>' ORDER BY depth) AS path FROM path GROUP BY id"""
 )
-def j15_lineage_path_whole(spark, sf_dir):
+def j15_lineage_path(spark, sf_dir):
     """Ordered path of every order to its root, of any length."""
     ids = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("child"))
     edges = ids.filter("child > 0").withColumn("parent", F.floor(F.col("child") / 3).cast("bigint"))

@@ -40,11 +40,13 @@ def t1_exact_occurrences(spark, sf_dir):
     return S.occurrences(load(spark, sf_dir, "documents"), "doc_id", "text", "the of", 40)
 
 
-def _scored(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", X.compact(F.lower("text")).alias("folded"))
+def _scored(spark, sf_dir, *more):
+    docs = load(spark, sf_dir, "documents").select("doc_id", X.compact(F.lower("text")).alias("folded"), *more)
     linked = load(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("linked", F.lit(True))
-    scored = docs.join(linked, "doc_id", "left").withColumn("score", S.layer_score(F.col("folded"), PHRASE, (), F.col("linked")))
-    return scored.filter("score > 0").select("doc_id", "score")
+    # The score without its bonus decides what matches, so the texts don't travel to the labels.
+    own = S.computed(docs, "own", S.layer_score(F.col("folded"), PHRASE)).filter("own > 0").drop("folded")
+    bonus = F.when(F.col("linked"), F.lit(S.LINKED)).otherwise(F.lit(0))
+    return own.join(linked, "doc_id", "left").withColumn("score", F.col("own") + bonus).drop("own", "linked")
 
 
 _SCORED = f"""SELECT doc_id, score FROM (SELECT d.doc_id, {_layer_sql("d.folded", "l.doc_id IS NOT NULL")} AS score
@@ -71,7 +73,8 @@ def t3_layer_score_search(spark, sf_dir):
 def t2_layered_search(spark, sf_dir):
     main = load(spark, sf_dir, "documents").select(F.lit("main").alias("layer"), F.col("doc_id").alias("id"), "text")
     other = load(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("layer"), F.col("item_id").alias("id"), "text")
-    scored = main.unionByName(other).withColumn("score", S.layer_score(X.compact(F.lower("text")), PHRASE))
+    folded = main.unionByName(other).select("layer", "id", X.compact(F.lower("text")).alias("folded"))
+    scored = S.computed(folded, "score", S.layer_score(F.col("folded"), PHRASE))
     return S.ranked(scored.filter("score > 0").select("layer", "id", "score"), "score", ["layer", "id"], 30)
 
 
@@ -99,7 +102,7 @@ def _evidence_sql() -> str:
 )
 def t5_evidence_search(spark, sf_dir):
     folded = load(spark, sf_dir, "documents").select("doc_id", X.compact(F.lower("text")).alias("folded"))
-    scored = folded.withColumn("score", S.evidence_score(F.col("folded"), PHRASE, HINTS)).filter("score > 0")
+    scored = S.computed(folded, "score", S.evidence_score(F.col("folded"), PHRASE, HINTS)).filter("score > 0").drop("folded")
     return scored.orderBy(F.desc("score"), "doc_id").limit(S.checked_k(5, S.MAX_EVIDENCE_K)).select("doc_id", "score")
 
 
@@ -156,6 +159,5 @@ def k5_budgeted_hits(spark, sf_dir):
     SELECT doc_id, CAST(score AS INTEGER) AS score, copies FROM n WHERE n = 1"""
 )
 def a10_keep_best(spark, sf_dir):
-    keyed = load(spark, sf_dir, "documents").select("doc_id", F.sha2(X.compact(F.col("text")), 256).alias("key"))
-    hits = _scored(spark, sf_dir).join(keyed, "doc_id")
+    hits = _scored(spark, sf_dir, "text").withColumn("key", F.sha2(X.compact(F.col("text")), 256)).drop("text")
     return S.keep_best(hits, ["key"], [F.desc("score"), F.col("doc_id")]).select("doc_id", "score", "copies")

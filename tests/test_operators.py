@@ -1,7 +1,9 @@
+import random
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from scriptorium import registry
 from scriptorium.operators import aggregates as A
 from scriptorium.operators import alignment as L
 from scriptorium.operators import entities as E
@@ -286,7 +288,7 @@ def test_neighbour_overlap_query_answers_for_all_vectors(spark):
     from scriptorium import registry
 
     sf = "/root/testdata/sf0.001"
-    found = registry.queries()["h25_neighbour_overlap_whole"](spark, sf)
+    found = registry.queries()["h25_neighbour_overlap"](spark, sf)
     assert len(found.collect()) == spark.read.parquet(f"{sf}/embeddings.parquet").count() > 60
 
 
@@ -311,7 +313,7 @@ def test_texts_are_converted_and_aligned_to_their_ends(spark, tmp_path):
     spark.createDataFrame(data, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc_id: (r.ratio, r.longest) for r in registry.queries()["l1_l3_alignment"](spark, str(tmp_path)).collect()}
     assert found[2][0] < 1 and found[2][1] == 300 and found[3] == (1.0, 305)
-    md5 = {r.doc_id: r.text_md5 for r in registry.queries()["l13_conversion_whole"](spark, str(tmp_path)).collect()}
+    md5 = {r.doc_id: r.text_md5 for r in registry.queries()["l13_conversion"](spark, str(tmp_path)).collect()}
     assert md5[1] != md5[2] == md5[3]
 
 
@@ -356,10 +358,10 @@ def test_whole_queries_read_every_row(spark, tmp_path):
 
     q = registry.queries()
     sf = "/root/testdata/sf0.001"
-    assert len(q["j15_lineage_path_whole"](spark, sf).collect()) == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert len(q["j15_lineage_path"](spark, sf).collect()) == spark.read.parquet(f"{sf}/orders.parquet").count()
     spark.createDataFrame([(1, "s", "abc"), (5, "s", "abcd"), (7, "s", "x")], "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [(r.before, r.after) for r in q["o7_size_deltas_whole"](spark, str(tmp_path)).collect()] == [(8, 16)]
-    assert q["s5_s15_tree_comparison_whole"](spark, str(tmp_path)).collect() == []
+    assert [(r.before, r.after) for r in q["o7_size_deltas"](spark, str(tmp_path)).collect()] == [(8, 16)]
+    assert q["s5_s15_tree_comparison"](spark, str(tmp_path)).collect() == []
 
 
 def test_templates_of_whole_pages(spark, tmp_path):
@@ -397,5 +399,28 @@ def test_templates_of_whole_pages(spark, tmp_path):
         (k, n, name, len(f), hashlib.md5("\x1f".join(f).encode()).hexdigest())
         for k, _, h in data for n, (name, f) in enumerate(plain("a {{note|" + h + "}} b"))
     }
-    assert {tuple(r) for r in registry.queries()["s4_templates_whole"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in registry.queries()["s4_templates"](spark, str(tmp_path)).collect()} == want
     assert any(n for _, n, *_ in want) and any(m > 1 for *_, m, _ in want)
+
+
+def test_nearest_of_long_ranges(spark):
+    """Ranges longer than the gap, near each other by an end or overlapping."""
+    r = random.Random(4)
+    spans = [[(k, i, a := r.randrange(300), a + r.choice([0, 3, 40, 120])) for i in range(60)] for k in range(2)]
+    left, right = (spark.createDataFrame([(k, i, s, e) for i, (k, _, s, e) in enumerate(x)], "k int, i int, s int, e int") for x in ([(n % 3, *x[1:]) for n, x in enumerate(spans[0])], [(n % 3, *x[1:]) for n, x in enumerate(spans[1])]))
+    want = set()
+    for a in left.collect():
+        near = [(max(b.s - a.e, a.s - b.e, 0), b.s, b.i) for b in right.collect() if b.k == a.k]
+        near = [x for x in near if x[0] <= 10]
+        if near:
+            want.add((a.i, min(near)[0]))
+    assert {(x.i, x.gap) for x in J.nearest_in_band(left, right, "k", "s", "e", 10).collect()} == want
+    one = spark.createDataFrame([(1, 0, 100)], "k int, s int, e int")
+    other = spark.createDataFrame([(1, 105, 110)], "k int, s int, e int")
+    assert [x.gap for x in J.nearest_in_band(one, other, "k", "s", "e", 10).collect()] == [5]
+
+
+def test_search_folds_a_text_once(spark):
+    for name in ("t5_evidence_search", "a10_keep_best"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace(lower(") == 1, plan
