@@ -8,10 +8,11 @@ where a pre-token ends stores its token count, and a document's count is a sum
 of stored counts. Characters without a piece cost the byte pieces of their UTF-8
 form. Among best segmentations the one of fewest tokens counts.
 
-Scores are those of the vocabulary file, and the count is that of the best
-segmentation under their sum. That is the count of a unigram model's own encoder
-where the file holds log-probabilities. A file made by merges holds ranks in
-their place; its encoder merges pair by pair and need not find the best sum.
+Scores are the vocabulary file's where it holds log-probabilities; the count is
+then that of a unigram model's own encoder. A file made by merges holds ranks in
+their place, which are no log-probabilities: rank r gets that of the
+Zipf-Mandelbrot law, in proportion to 1 / (r + ``MANDELBROT``). Its own encoder
+merges pair by pair and finds nearly as many tokens, not the same ones.
 
 The trie belongs to the worker process and is started anew when it holds
 ``NODES`` nodes, the stored counts when they are ``COUNTS``; this bounds memory
@@ -26,6 +27,7 @@ empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,6 +40,8 @@ MARK = "▁"
 NODES = 400_000
 COUNTS = 1_000_000
 LONG = 200
+#: What the law adds to a rank.
+MANDELBROT = 100
 
 
 class Pieces:
@@ -60,6 +64,15 @@ class Pieces:
         return sum(self.byte_scores.get(b, self.worst) for b in raw), len(raw)
 
 
+def log_probabilities(scores: dict[str, float]) -> dict[str, float]:
+    """Scores as they are, or by the law of ranks where all are whole numbers."""
+    if any(s != int(s) for s in scores.values()):
+        return scores
+    share = {piece: 1 / (MANDELBROT - s) for piece, s in scores.items()}
+    total = math.fsum(share.values())
+    return {piece: math.log(x / total) for piece, x in share.items()}
+
+
 def read_pieces(path: str) -> Pieces:
     """The pieces of a sentencepiece model file."""
     from sentencepiece import SentencePieceProcessor
@@ -72,10 +85,10 @@ def read_pieces(path: str) -> Pieces:
             byte_scores[int(piece[3:5], 16)] = p.get_score(i)
         elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
             scores[piece] = p.get_score(i)
-    if byte_scores and max(byte_scores.values()) >= 0:  # bytes carry no score of their own in the file
-        floor = min(scores.values()) - 1
-        byte_scores = dict.fromkeys(byte_scores, floor)
-    return Pieces(scores, byte_scores)
+    made = log_probabilities(scores)
+    if byte_scores and (made is not scores or max(byte_scores.values()) >= 0):  # bytes carry no score of their own in the file
+        byte_scores = dict.fromkeys(byte_scores, min(made.values()) - 1)
+    return Pieces(made, byte_scores)
 
 
 class Trie:
