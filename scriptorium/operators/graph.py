@@ -53,8 +53,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     of rounds that follows the logarithm of the largest component. Rounds are
     grouped minima written to the shared folder.
     """
-    pairs = storage.saved(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
-    loops = edges.filter(F.col(a) == F.col(b)).select(F.col(a).alias("node"))
+    own = storage.saved(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())  # computed once
+    pairs, loops = own.filter("u <> v"), own.filter("u = v").select(F.col("u").alias("node"))
     last = None
     while True:
         both = pairs.union(pairs.select("v", "u")).toDF("u", "v")
