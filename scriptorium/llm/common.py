@@ -40,8 +40,24 @@ def unused(columns: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+#: Rows that go to a Python worker at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps what a Python worker holds at a time to ``BATCH_ROWS`` texts.
+
+    The setting is read when a plan runs, so it stays for the session. The
+    default of 10,000 suits rows of numbers; a smaller one of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id bigint, text binary)``: what the Arrow kernels read."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")
     )
