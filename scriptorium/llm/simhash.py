@@ -7,7 +7,8 @@ parts of the 64 bits. Two fingerprints within the radius have counts whose
 absolute differences sum to at most the radius, so only such tile pairs meet;
 they are found by an equi-join of tiles on neighbouring counts, and compared
 whole with numpy exclusive-or and bit counts. Tiles are bounded, so is the
-memory of a pair; a crowded tile class gives more tiles, not larger ones. The
+memory of a pair; a crowded tile class gives more tiles, not larger ones, is
+dealt by ranges, and is cut into parts that meet their neighbours apart. The
 number of segments follows the number of distinct fingerprints, so that the
 tiles of a class stay few while classes stay well filled.
 
@@ -39,6 +40,10 @@ SEED = 42
 RADIUS = 2
 #: Fingerprints in a tile, at most.
 TILE = 1024
+#: Tiles of a class that one key of the join of tiles holds, about.
+PART = 16
+#: Crowded classes whose sizes are broadcast, at most; beyond it a plain join.
+CROWDED = 1 << 18
 #: Distinct fingerprints up to which so many segments serve.
 SEGMENTS = ((1 << 17, 2), (1 << 23, 4), (1 << 33, 8), (1 << 62, 16))
 
@@ -186,9 +191,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     n = distinct.count()
     segments = next(s for most, s in SEGMENTS if n <= most)
     classes = distinct.select(_counts(F.col("f"), segments).alias("counts"), "f")
-    salts = max(1, n // (TILE * 64))
     tiles = (
-        classes.repartition("counts", F.pmod(F.xxhash64("f"), F.lit(salts)))
+        classes.repartitionByRange("counts", "f")  # ranges cut a crowded class
         .sortWithinPartitions("counts", "f")
         .mapInArrow(_tile, "counts string, tile binary")
         .withColumn("tile_id", F.xxhash64("tile"))
@@ -206,7 +210,15 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             F.col("tile_id").alias("a_id"),
         )
     )
-    pairs = home.join(tiles.withColumnRenamed("tile", "b"), "counts").filter(~F.col("own") | (F.col("a_id") <= F.col("tile_id")))
+    # A crowded class is cut into parts of its tiles; tiles that meet it are copied to each part.
+    crowded = common.saved(
+        tiles.groupBy("counts").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).filter("parts > 1")
+    )
+    sizes = F.broadcast(crowded) if crowded.count() <= CROWDED else crowded
+    count = F.coalesce("parts", F.lit(1))
+    left = home.join(sizes, "counts", "left").withColumn("part", F.explode(F.sequence(F.lit(0), count - 1))).drop("parts")
+    right = tiles.join(sizes, "counts", "left").withColumn("part", F.pmod("tile_id", count).cast("int")).drop("parts")
+    pairs = left.join(right.withColumnRenamed("tile", "b"), ["counts", "part"]).filter(~F.col("own") | (F.col("a_id") <= F.col("tile_id")))
     spread = pairs.select((F.col("own") & (F.col("a_id") == F.col("tile_id"))).alias("same"), "a", "b")
     return spread.mapInArrow(lambda it: _compare(it, radius), "src bigint, dst bigint")
 

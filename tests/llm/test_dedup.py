@@ -223,6 +223,32 @@ def test_links_connect_all_near_fingerprints(spark, monkeypatch, segments):
     assert len(links) < 4 * len(prints) or set(links) <= known
 
 
+def test_links_in_crowded_classes_met_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", 1)
+    r = np.random.default_rng(7)
+    bits = [np.argsort(r.random((3000, 32)), axis=1)[:, :k].astype(np.uint64) for k in (2, 2, 3)]
+    low, high, more = [np.bitwise_or.reduce(np.uint64(1) << b, axis=1) for b in bits]
+    prints = np.unique(np.concatenate([low | high << np.uint64(32), (more | high << np.uint64(32))[:1500]]))
+    df = spark.createDataFrame([(int(f),) for f in prints.view(np.int64)], "f bigint")
+    found = simhash.links(df).collect()
+    x, y = (np.array([getattr(l, c) for l in found], np.int64).view(np.uint64) for c in ("src", "dst"))
+    near = np.concatenate([np.argwhere(np.bitwise_count(prints[i : i + 500, None] ^ prints[None, :]) <= 2) + [i, 0] for i in range(0, len(prints), 500)])
+
+    def labels(a, b):
+        label = np.arange(len(prints))
+        while True:
+            least = label.copy()
+            np.minimum.at(least, a, label[b])
+            np.minimum.at(least, b, label[a])
+            least = least[least]
+            if (least == label).all():
+                return label
+            label = least
+
+    assert (labels(np.searchsorted(prints, x), np.searchsorted(prints, y)) == labels(near[:, 0], near[:, 1])).all()
+    assert len(set(labels(near[:, 0], near[:, 1]))) > 100
+
+
 def test_one_of_each_keeps_columns(docs):
     rows = [(5, "a b c d"), (3, "a b c d"), (3, "a b c d"), (7, "quite another text here"), (None, "z")]
     kept = simhash.one_of_each(docs(rows))
