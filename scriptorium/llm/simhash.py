@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.llm import common
 from scriptorium.operators import graph
@@ -81,6 +82,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f)], names=["doc_id", "f"])
 
 
+def _printed(batches: Iterator[pa.RecordBatch]):
+    """Batches whose last column, a text, becomes its fingerprint."""
+    for whole in batches:
+        for batch in common.slices(whole, whole.num_columns - 1, 1 << 20):
+            f = fingerprints(batch.column(batch.num_columns - 1).to_pylist()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(f)], names=batch.schema.names)
+
+
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """``(doc_id, f)``: the fingerprint as a signed 64-bit number."""
     return common.texts(docs).mapInArrow(_fingerprints, "doc_id bigint, f bigint")
@@ -271,11 +280,9 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     single = kept.join(shared, here, "left_anti")
 
     # Only rows of a shared doc_id have to be told apart, by their fingerprints.
-    @F.arrow_udf("bigint")
-    def printed(text: pa.Array) -> pa.Array:
-        return pa.array(fingerprints(text.to_pylist()).view(np.int64))
-
-    told = kept.join(shared, here, "left_semi").withColumn(print_, printed(F.col("text").cast("binary")))
+    # An opaque step, so that it stays above the shuffle that both branches read.
+    shape = T.StructType([*docs.schema.fields, T.StructField(print_, T.LongType())])
+    told = kept.join(shared, here, "left_semi").withColumn(print_, F.col("text").cast("binary")).mapInArrow(_printed, shape)
     told = told.join(keep, here & (F.col(print_) == F.col(other)), "left_semi")
     order = Window.partitionBy("doc_id", print_).orderBy("text", *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
     told = told.withColumn(number, F.row_number().over(order)).filter(F.col(number) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -249,6 +249,12 @@ def test_links_in_crowded_classes_met_in_parts(spark, monkeypatch):
     assert len(set(labels(near[:, 0], near[:, 1]))) > 100
 
 
+def test_one_of_each_shuffles_texts_once(docs):
+    rows = [(5, "a b c d"), (3, "a b c d"), (3, "other words of a text"), (7, "quite another text here")]
+    plan = simhash.one_of_each(docs(rows))._jdf.queryExecution().sparkPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1
+
+
 def test_one_of_each_keeps_columns(docs):
     rows = [(5, "a b c d"), (3, "a b c d"), (3, "a b c d"), (7, "quite another text here"), (None, "z")]
     kept = simhash.one_of_each(docs(rows))
