@@ -45,6 +45,8 @@ TILE = 1024
 PART = 16
 #: Crowded classes whose sizes are broadcast, at most; beyond it a plain join.
 CROWDED = 1 << 18
+#: A fingerprint is crowded if it holds more than one row in so many.
+CROWD = 1000
 #: Distinct fingerprints up to which so many segments serve.
 SEGMENTS = ((1 << 17, 2), (1 << 23, 4), (1 << 33, 8), (1 << 62, 16))
 
@@ -235,7 +237,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs``."""
     prints = common.saved(fingerprinted(docs))
-    classes = common.saved(prints.groupBy("f").agg(F.min("doc_id").alias("least")))
+    classes = common.saved(prints.groupBy("f").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     near = links(classes.select("f"), radius)
     named = (
         near.join(classes.select(F.col("f").alias("src"), F.col("least").alias("a")), "src")
@@ -248,12 +250,15 @@ def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         classes.join(linked.withColumnRenamed("node", "least"), "least", "left")
         .select("f", F.coalesce("component", "least").alias("component_id"))
     )
-    # The classes are one row a fingerprint; rows of one crowded fingerprint are
-    # spread over salted copies of their class.
-    width = common.shuffle_width(docs.sparkSession)
-    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(min(width, 32) - 1))))
+    # Rows of a fingerprint that holds over 1 / CROWD of all rows are spread over
+    # salted copies of its class; there are less than CROWD such fingerprints.
+    width, total = min(common.shuffle_width(docs.sparkSession), 32), prints.count()
+    crowded = classes.filter(F.col("n") * CROWD > total).select("f", F.lit(width).alias("copies"))
+    copies, crowded = F.coalesce("copies", F.lit(1)), F.broadcast(crowded)
+    salted = least.join(crowded, "f", "left").select("f", "component_id", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
     return (
-        prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(min(width, 32))).cast("int"))
+        prints.join(crowded, "f", "left")
+        .withColumn("salt", F.pmod(F.xxhash64("doc_id"), copies).cast("int"))
         .join(salted, ["f", "salt"])
         .select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
     )
