@@ -102,12 +102,15 @@ def a17_rebalance(spark, sf_dir):
 def j13_ordinal_alignment(spark, sf_dir):
     """Both sides numbered and paired by their ordinal, as far as the shorter goes.
 
-    The SQL numbers forty rows a side; it agrees where a side has no more.
+    The SQL numbers forty rows a side; it agrees where a side has no more, and
+    otherwise on its forty. As there, null ids come last and a pair without both
+    texts is disputed.
     """
-    d = W.global_rank(load(spark, sf_dir, "documents").select("doc_id", "text"), [F.col("doc_id"), F.col("text")], "n")
-    b = W.global_rank(load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("other")), [F.col("item_id"), F.col("other")], "n")
-    met = d.join(b, "n")
-    return met.select("doc_id", "item_id", L.alignment_class(F.col("text"), F.col("other")).alias("class"))
+    order = lambda *c: [F.col(x).asc_nulls_last() for x in c]
+    d = W.global_rank(load(spark, sf_dir, "documents").select("doc_id", "text"), order("doc_id", "text"), "n")
+    b = W.global_rank(load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("other")), order("item_id", "other"), "n")
+    kind = F.coalesce(L.alignment_class(F.col("text"), F.col("other")), F.lit("disputed"))
+    return d.join(b, "n").select("doc_id", "item_id", kind.alias("class"))
 
 
 NAMES = ["Apache", "MIT", "GNU"]

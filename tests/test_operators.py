@@ -478,3 +478,17 @@ def test_texts_are_aligned_with_the_one_before_across_ranges(spark):
     assert {tuple(x) for x in found.collect()} == want and len(want) > 200
     assert "hashpartitioning(source" not in found._jdf.queryExecution().toString()
     assert L.aligned_in_order(df.filter("doc_id < 0"), "doc_id", "source", "text").collect() == []
+
+
+def test_ordinal_alignment_of_unknown_ids_and_texts_is_that_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    docs = [(i or None, None if i % 4 == 1 else f"text {i % 3}") for i in range(30)]
+    items = [(i if i != 3 else None, None if i % 5 == 2 else f"text {i % 2}" + "x" * (i % 7 == 0)) for i in range(35)]
+    with duckdb.connect() as c:
+        for name, rows, schema in (("documents", docs, "doc_id bigint, text string"), ("benchmark", items, "item_id bigint, text string")):
+            spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+            c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        want = c.execute(registry.oracle_sql()["j13_ordinal_alignment"]).fetchall()
+    found = [tuple(x) for x in registry.queries()["j13_ordinal_alignment"](spark, str(tmp_path)).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str) and len(want) == 30
